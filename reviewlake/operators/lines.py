@@ -61,13 +61,18 @@ def long_lines(files: DataFrame, key: str = "file_id", limit: int = C.MAX_LINE_L
     )
 
 
+def _starts(size: int) -> Column:
+    """Positions at which a window of ``size`` lines fits (a sequence would count down to 0)."""
+    last = F.size("filled") - (size - 1)
+    return F.when(last >= 1, F.sequence(F.lit(1), last))
+
+
 def _blocks(files: DataFrame, key: str, size: int) -> DataFrame:
     """Per file the trimmed non-blank lines, and one 64-bit key per window of ``size`` lines."""
     filled = F.filter(F.transform(split_lines(F.col("content")), strip), lambda l: l != "")
-    texts = files.select(key, filled.alias("filled")).where(F.size("filled") >= size)
+    texts = files.select(key, filled.alias("filled"))
     windows = F.transform(
-        F.sequence(F.lit(1), F.size("filled") - (size - 1)),
-        lambda i: F.xxhash64(*[F.element_at("filled", i + n) for n in range(size)]),
+        _starts(size), lambda i: F.xxhash64(*[F.try_element_at("filled", i + n) for n in range(size)])
     )
     return texts.select(key, "filled", windows.alias("windows"))
 
@@ -82,8 +87,11 @@ def duplicate_blocks(
     narrow rows (file, position, keys) are ranked per window; a second hash over the same lines
     makes the key 96 bits wide.
     """
-    blocks = _blocks(files, key, size).where(F.size(F.array_distinct("windows")) < F.size("windows"))
-    rows = blocks.select(key, "filled", F.posexplode("windows").alias("_index", "_window"))
+    # inside the generator, since a filter would be pushed down and repeat the whole folding
+    repeated = F.size(F.array_distinct("windows")) < F.size("windows")
+    rows = _blocks(files, key, size).select(
+        key, "filled", F.posexplode(F.when(repeated, F.col("windows"))).alias("_index", "_window")
+    )
     narrow = rows.select(
         key, (F.col("_index") + 1).alias("position"), "_window",
         F.hash(F.slice("filled", F.col("_index") + 1, size)).alias("_check"),
@@ -108,9 +116,9 @@ def corpus_duplicate_blocks(
     of all files collapses to one row per task before the shuffle.
     """
     filled = F.filter(F.transform(split_lines(F.col("content")), strip), lambda l: l != "")
-    texts = files.select(key, filled.alias("filled")).where(F.size("filled") >= size)
+    texts = files.select(key, filled.alias("filled"))
     windows = F.transform(
-        F.sequence(F.lit(1), F.size("filled") - (size - 1)),
+        _starts(size),
         lambda i: F.md5(F.array_join(F.slice("filled", i, size), "\n")),
     )
     rows = texts.select(key, F.posexplode(windows).alias("_index", "block"))

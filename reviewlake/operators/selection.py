@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from reviewlake.functions.text import is_blank
 from reviewlake.rules.catalog import CATEGORIES, MAX_FILE_KB
@@ -18,7 +19,7 @@ def drop_removed(files: DataFrame) -> DataFrame:
     return files.where(F.coalesce("status", F.lit("modified")) != "removed")
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def _compiles(patterns: pd.Series) -> pd.Series:
     def check(pattern):
         try:
@@ -45,7 +46,7 @@ def drop_ignored(files: DataFrame, patterns: DataFrame, key: str = "project_id")
     usable = valid_patterns(patterns).select(F.col(key).alias("_key"), "pattern")
     return files.join(
         usable,
-        (F.col(key) == F.col("_key")) & F.col("filename").rlike(F.col("pattern")),
+        (F.col(key) == F.col("_key")) & F.rlike("filename", F.col("pattern")),
         "left_anti",
     )
 

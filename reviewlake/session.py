@@ -20,6 +20,7 @@ def local_session(app: str = "reviewlake", cores: str = "8", **conf: str) -> Spa
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "16g")
         .config("spark.sql.codegen.cache.maxEntries", "2000")
     )
