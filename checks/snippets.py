@@ -145,5 +145,15 @@ SNIPPETS = (
     'this_line_is_long = "' + "abcdefghij " * 12 + '"',
     '',
     'y = rows[i + 1]',
+    'if isinstance(x, (A, B)):',
+    'items = []\nfor x in xs:\n    items.append(x)',
+    'if isinstance(a, B):\n    one()\nelif isinstance(a, C):\n    two()\nelif isinstance(a, D):\n    three()',
+    'import { useState } from "react"',
+    'class Panel extends View {',
+    'export const show = (a) => {',
+    'public class Main {',
+    'import java.util.List;',
+    'public static void main(String[] args) {',
+    'fn total(a: i32) -> i32 {\n    if a > 1 && a < 9 { return a; }\n    a\n}',
     'for a in b:\n    for c in d:\n        for e in f:\n            use(a[c + 1])',
 )
