@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewlake.functions.text import newline_count, split_lines, strip
-from reviewlake.operators.scan import find_matches
 from reviewlake.rules import catalog as C
 from reviewlake.rules.model import MARK
 
@@ -37,24 +36,46 @@ HEADERS = {
 _CHAIN_LINE = _BODY_LINE.replace(r"(?:\3[ \t]+", r"(?:\3elif\b|\3[ \t]+", 1)
 
 
-def _block_pattern(kind: str, capture_block: bool) -> str:
-    """Groups: 1 string passed over, 2 decorators, 3 indentation, [4 block,] last: name.
+def _block_pattern(kind: str, with_block: bool) -> str:
+    """Groups: 1 string passed over, 2 decorators, 3 indentation, 4 name, [5 block].
 
     Triple-quoted strings are matched on their own, so that header look-alikes in them are not.
+    The block of a loop is consumed, so only outermost loops match; other blocks are looked at
+    only, so inner ones match too.
     """
     header = HEADERS[kind]
     named = header % r"(\w+)" if "%s" in header else header
-    block = ""
-    if capture_block:
-        plain = header % r"\w+" if "%s" in header else header.replace("(for)", "for").replace("(if)", "if")
-        line = _CHAIN_LINE if kind == "chain" else _BODY_LINE
-        block = rf"(?={plain})(?=({_REST}(?:{line})*+))"
-    return rf"(?md)({_TRIPLE})|{_DECORATORS}^([ \t]*+){block}{named}"
+    plain = header % r"\w+" if "%s" in header else header.replace("(for)", "for").replace("(if)", "if")
+    line = _CHAIN_LINE if kind == "chain" else _BODY_LINE
+    block = rf"({_REST}(?:{line})*+)"
+    if not with_block:
+        tail = named
+    elif kind == "for":
+        tail = rf"(?={named}){block}"
+    else:
+        tail = rf"(?={named})(?={block}){plain}"
+    return rf"(?md)({_TRIPLE})|{_DECORATORS}^([ \t]*+){tail}"
 
 
-def _match_lines(content: Column, pattern: str) -> Column:
-    """Line number of every match, in order. Strings and decorators stay before the mark."""
-    marked = F.split(F.regexp_replace(content, pattern, f"$1$2{MARK}"), "\n", -1)
+PYTHON_KINDS = ("function", "class", "chain", "for")
+GENERIC_LANGUAGES = ("rust", "ruby", "solidity")
+# what a text must hold for a kind of block to be looked for
+_GATES = {
+    "function": lambda text: F.contains(text, F.lit("def")),
+    "class": lambda text: F.contains(text, F.lit("class")),
+    "chain": lambda text: text.rlike(r"(?md)^[ \t]*(?:el)?if\b"),
+    "for": lambda text: text.rlike(r"(?md)^[ \t]*(?:async[ \t]+)?for\b"),
+}
+
+
+def _by_kind(values: dict[str, str]) -> Column:
+    pairs = F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
+    return F.try_element_at(pairs, F.col("kind"))
+
+
+def _match_lines(content: Column, pattern: Column, replacement: Column) -> Column:
+    """Line number of every match, in order."""
+    marked = F.split(F.regexp_replace(content, pattern, replacement), "\n", -1)
     return F.flatten(
         F.transform(
             marked,
@@ -65,46 +86,85 @@ def _match_lines(content: Column, pattern: str) -> Column:
     )
 
 
-def python_blocks(files: DataFrame, kind: str, keep: list[str] | None = None) -> DataFrame:
-    """Blocks of python files: ``kind`` is function, class, for or chain (if/elif).
+def _python_block_array(content: Column, kinds: tuple[str, ...]) -> Column:
+    block = _by_kind({k: _block_pattern(k, True) for k in kinds})
+    mark = _by_kind({k: _block_pattern(k, k == "for") for k in kinds})
+    # strings and decorators stay in front of the mark, a consumed block stays behind it
+    replacement = _by_kind({k: f"$1$2{MARK}" + ("$5" if k == "for" else "") for k in kinds})
+    part = {
+        name: F.regexp_extract_all(content, block, n)
+        for name, n in (("above", 2), ("indent", 3), ("name", 4), ("block", 5))
+    }
+    return F.arrays_zip(
+        _match_lines(content, mark, replacement).alias("start_line"),
+        *[array.alias(name) for name, array in part.items()],
+    )
+
+
+def _generic_block_array(content: Column) -> Column:
+    lines = split_lines(content)
+    return F.transform(
+        generic_extents(lines),
+        lambda f: F.struct(
+            f["start_line"].alias("start_line"), F.lit("").alias("above"), F.lit("").alias("indent"),
+            f["name"].alias("name"),
+            F.array_join(F.slice(lines, f["start_line"], f["end_line"] - f["start_line"] + 1), "\n").alias("block"),
+        ),
+    )
 
-    (*keep, name, start_line, end_line, indent, decorators, text); ``text`` runs from the
-    header line to the last code line of the block.
+
+def code_blocks(
+    files: DataFrame, kinds: tuple[str, ...] = PYTHON_KINDS,
+    generic_languages: tuple[str, ...] = (), keep: list[str] | None = None,
+    gates: dict | None = None,
+) -> DataFrame:
+    """Blocks of source files in one pass over the texts, without a shuffle.
+
+    (*keep, language, kind, name, start_line, end_line, indent, decorators, text). Python kinds
+    are function, class, for (outermost loops) and chain (if/elif branches with the branches
+    behind them); the kind of a function by brace depth is generic. ``text`` runs from the header
+    line to the last code line of the block.
     """
     keep = keep or ["file_id"]
-    word = {"function": "def", "class": "class", "for": "for", "chain": "if"}[kind]
-    python = files.where(
-        (F.col("language") == "python") & F.contains("content", F.lit(word))
-    ).select(*keep, F.translate("content", MARK, " ").alias("content"))
-    block = F.lit(_block_pattern(kind, True))
-    part = {
-        name: F.regexp_extract_all("content", block, n)
-        for name, n in (("above", 2), ("indent", 3), ("block", 4), ("name", 5))
-    }
-    found = python.select(
-        *keep,
-        F.arrays_zip(
-            _match_lines(F.col("content"), _block_pattern(kind, False)).alias("start_line"),
-            *[array.alias(name) for name, array in part.items()],
-        ).alias("blocks"),
+    gates = {**_GATES, **(gates or {})}
+    content = F.col("content")
+    languages = (("python",) if kinds else ()) + tuple(generic_languages)
+    tried = F.when(
+        F.col("language") == "python", F.array(*[F.when(gates[k](content), F.lit(k)) for k in kinds])
+    ) if kinds else F.when(F.lit(False), F.array(F.lit("")))
+    if generic_languages:
+        tried = tried.when(
+            F.col("language").isin(*generic_languages) & content.rlike(_GENERIC_GATE), F.array(F.lit("generic"))
+        )
+    rows = (
+        files.where(F.col("language").isin(*languages) & content.isNotNull())
+        .select(*keep, "language", F.translate("content", MARK, " ").alias("content"), F.explode(tried).alias("kind"))
+        .where(F.col("kind").isNotNull())
     )
+    blocks = F.when(F.col("kind") == "generic", _generic_block_array(content)) if generic_languages else None
+    if kinds:
+        python = _python_block_array(content, kinds)
+        blocks = python if blocks is None else blocks.otherwise(python)
     decorators = F.transform(
         F.filter(F.split("above", "\n"), lambda l: F.trim(l) != ""),
         lambda l: strip(F.regexp_replace(l, r"^\s*@", "")),
     )
     return (
-        found.select(*keep, F.inline("blocks"))
+        rows.select(*keep, "language", "kind", F.inline(blocks))
         .where(F.col("name") != "")
         .select(
-            *keep, "name", "start_line",
+            *keep, "language", "kind", "name", "start_line",
             (F.col("start_line") + newline_count(F.col("block"))).alias("end_line"),
-            F.col("indent"),
-            decorators.alias("decorators"),
-            F.concat("indent", "block").alias("text"),
+            "indent", decorators.alias("decorators"), F.concat("indent", "block").alias("text"),
         )
     )
 
 
+def python_blocks(files: DataFrame, kind: str, keep: list[str] | None = None) -> DataFrame:
+    """Blocks of one kind: (*keep, name, start_line, end_line, indent, decorators, text)."""
+    return code_blocks(files, (kind,), keep=keep).drop("language", "kind")
+
+
 def python_params(text: Column) -> Column:
     """Positional parameter names of a function header (up to the closing bracket)."""
     inside = F.regexp_extract(text, r"def\s+\w+\s*\(((?:[^()]|\((?:[^()]|\([^()]*\))*+\))*+)\)", 1)
@@ -143,9 +203,7 @@ def python_imports(files: DataFrame, keep: list[str] | None = None) -> DataFrame
 
 
 _GENERIC_START = rf"^(?:{'|'.join(C.GENERIC_FUNCTION_WORDS)}) "
-_GENERIC_STATE = (
-    "struct<name:string,start:int,depth:int,found:array<struct<name:string,start_line:int,end_line:int>>>"
-)
+_GENERIC_GATE = rf"(?md)^\s*(?:{'|'.join(C.GENERIC_FUNCTION_WORDS)}) "
 
 
 def _count(text: Column, char: str) -> Column:
@@ -192,19 +250,10 @@ def generic_extents(lines: Column) -> Column:
 
 
 def generic_functions(
-    files: DataFrame, languages: tuple[str, ...] = ("rust", "ruby", "solidity"),
-    keep: list[str] | None = None,
+    files: DataFrame, languages: tuple[str, ...] = GENERIC_LANGUAGES, keep: list[str] | None = None
 ) -> DataFrame:
     """(*keep, language, name, start_line, end_line, body) by running brace depth."""
     keep = keep or ["file_id"]
-    chosen = files.where(F.col("language").isin(*languages)).where(
-        F.col("content").rlike(rf"(?md)^\s*(?:{'|'.join(C.GENERIC_FUNCTION_WORDS)}) ")
-    )
-    lines = chosen.select(*keep, "language", split_lines(F.col("content")).alias("lines"))
-    found = lines.select(*keep, "language", "lines", F.inline(generic_extents(F.col("lines"))))
-    return found.select(
-        *keep, "language", "name", "start_line", "end_line",
-        F.array_join(
-            F.slice("lines", F.col("start_line"), F.col("end_line") - F.col("start_line") + 1), "\n"
-        ).alias("body"),
+    return code_blocks(files, (), languages, keep).select(
+        *keep, "language", "name", "start_line", "end_line", F.col("text").alias("body")
     )

@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewlake.functions.text import indent_width, strip
-from reviewlake.operators.blocks import generic_functions, python_blocks
+from reviewlake.operators.blocks import GENERIC_LANGUAGES, code_blocks
 from reviewlake.rules import catalog as C
 
 
+BRACE_LANGUAGES = ("javascript", "typescript", "java", "go")
+
+
 def cyclomatic(body: Column, language: Column) -> Column:
     """1 + number of branch tokens, ignoring case; ``else if`` counts twice by design."""
 
@@ -54,19 +57,24 @@ def functions_with_metrics(
     ``brace_extents`` gives them extents by running brace depth.
     """
     keep = keep or ["file_id"]
-    braces = ("rust", "ruby", "solidity")
+    braces = GENERIC_LANGUAGES
     if brace_extents:
-        braces += ("javascript", "typescript", "java", "go")
-    python = python_blocks(files, "function", keep).select(
-        *keep, F.lit("python").alias("language"), "name", "start_line", "end_line", "text"
+        braces += BRACE_LANGUAGES
+    blocks = code_blocks(files, ("function",), braces, keep)
+    return with_metrics(blocks).select(
+        *keep, "language", "name", "start_line", "end_line", "length", "complexity", "nesting", "text"
     )
-    generic = generic_functions(files, braces, keep).withColumnRenamed("body", "text")
-    return python.unionByName(generic).select(
-        *keep, "language", "name", "start_line", "end_line",
-        function_length(F.col("start_line"), F.col("end_line")).alias("length"),
-        cyclomatic(F.col("text"), F.col("language")).alias("complexity"),
-        max_nesting(F.col("text")).alias("nesting"),
-        "text",
+
+
+def with_metrics(blocks: DataFrame) -> DataFrame:
+    """Add length, complexity and nesting to blocks that are functions."""
+    is_function = F.col("kind").isin("function", "generic")
+    return blocks.withColumns(
+        {
+            "length": function_length(F.col("start_line"), F.col("end_line")),
+            "complexity": F.when(is_function, cyclomatic(F.col("text"), F.col("language"))),
+            "nesting": F.when(is_function, max_nesting(F.col("text"))),
+        }
     )
 
 

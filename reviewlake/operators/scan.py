@@ -233,24 +233,3 @@ def _finding_columns() -> list[Column]:
         filled("rule.suggestion").alias("suggestion"),
         (F.col("rule_no").cast("long") * 1_000_000 + F.col("line_number")).alias("ordinal"),
     ]
-
-
-def find_matches(
-    df: DataFrame, text: str, pattern: str, groups: Sequence[str], keep: Sequence[str]
-) -> DataFrame:
-    """All matches of one pattern: (*keep, line_number, *groups), each group one line long."""
-    replacement = MARK + CAPTURE_SEP.join(f"${i}" for i in range(1, len(groups) + 1)) + CAPTURE_END + "$0"
-    marked = df.where(F.col(text).rlike(pattern)).select(
-        *keep, F.regexp_replace(without_marks(F.col(text)), pattern, replacement).alias("_marked")
-    )
-    lines = marked.select(
-        *keep, F.posexplode(F.split("_marked", "\n", -1)).alias("_index", "_line")
-    ).where(F.contains("_line", F.lit(MARK)))
-    parts = lines.select(
-        *keep, "_index", F.posexplode(F.split("_line", MARK, -1)).alias("_part_no", "_part")
-    ).where(F.col("_part_no") > 0)
-    captured = F.split(F.substring_index("_part", CAPTURE_END, 1), CAPTURE_SEP, -1)
-    return parts.select(
-        *keep, (F.col("_index") + 1).alias("line_number"),
-        *[F.element_at(captured, i).alias(name) for i, name in enumerate(groups, 1)],
-    )

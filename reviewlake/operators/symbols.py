@@ -2,94 +2,108 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewlake.operators.blocks import generic_functions, python_blocks, python_imports
-from reviewlake.operators.scan import find_matches
+from reviewlake.operators.blocks import GENERIC_LANGUAGES, code_blocks, python_imports
+from reviewlake.operators.scan import without_marks
 from reviewlake.rules import catalog as C
+from reviewlake.rules.model import CAPTURE_END, MARK
 
 _FLAGS = "(?md)"
 # white space is taken in whole runs; a shorter run could never lead to a match
 _JAVA_METHOD = C.JAVA_METHOD_SHAPE.replace(r"|\s)+", r"|\s++)+")
 
 
-def _first_named(df: DataFrame, groups: list[str], keep: list[str], kind: str) -> DataFrame:
-    name = F.coalesce(*[F.when(F.col(g) != "", F.col(g)) for g in groups])
-    return df.select(*keep, F.lit(kind).alias("kind"), name.alias("name"), "line_number")
-
-
-def _shape(files, keep, languages, pattern, kind, groups=("g1",)):
-    chosen = files.where(F.col("language").isin(*languages))
-    found = find_matches(chosen, "content", _FLAGS + pattern, list(groups), keep)
-    return _first_named(found, list(groups), keep, kind)
+# language → (kind, shape, number of groups of which one holds the name)
+SHAPES = {
+    "javascript": (("function", C.JS_FUNCTION_SHAPES, 3), ("import", C.JS_IMPORT_SHAPE, 1), ("class", C.JS_CLASS_SHAPE, 1)),
+    "java": (("function", _JAVA_METHOD, 1), ("class", C.JAVA_CLASS_SHAPE, 1), ("import", C.JAVA_IMPORT_SHAPE, 1)),
+    "go": (("function", C.GO_FUNCTION_SHAPE, 1), ("class", C.GO_STRUCT_SHAPE, 1), ("import", C.GO_IMPORT_SHAPE, 1)),
+}
+SHAPES["typescript"] = SHAPES["javascript"]
 
 
-def js_symbols(files: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """(*keep, kind, name, line_number) of javascript and typescript files.
+def shape_symbols(
+    files: DataFrame, keep: list[str] | None = None, languages: tuple[str, ...] = tuple(SHAPES)
+) -> DataFrame:
+    """(*keep, kind, name, line_number) of languages read by surface shape, in one pass.
 
-    A block head such as ``if (x) {`` has the shape of a function and is counted as one; names
-    that begin with a capital are not.
+    In javascript and typescript a block head such as ``if (x) {`` has the shape of a function and
+    is counted as one; function names that begin with a capital are not.
     """
     keep = keep or ["file_id"]
-    languages = ("javascript", "typescript")
-    functions = _shape(files, keep, languages, C.JS_FUNCTION_SHAPES, "function", ("g1", "g2", "g3"))
-    starts_upper = F.substring("name", 1, 1).rlike(r"\p{Lu}")
-    return (
-        functions.where(~starts_upper)
-        .unionByName(_shape(files, keep, languages, C.JS_IMPORT_SHAPE, "import"))
-        .unionByName(_shape(files, keep, languages, C.JS_CLASS_SHAPE, "class"))
+    table = None
+    for language in languages:
+        shapes = F.array(
+            *[
+                F.struct(
+                    F.lit(kind).alias("kind"), F.lit(_FLAGS + shape).alias("pattern"),
+                    F.lit(MARK + "".join(f"${n}" for n in range(1, groups + 1)) + CAPTURE_END + "$0").alias("replacement"),
+                )
+                for kind, shape, groups in SHAPES[language]
+            ]
+        )
+        test = F.col("language") == language
+        table = F.when(test, shapes) if table is None else table.when(test, shapes)
+    chosen = files.where(F.col("language").isin(*languages) & F.col("content").isNotNull()).select(
+        *keep, "language", without_marks(F.col("content")).alias("content"), F.explode(table).alias("shape")
+    )
+    marked = chosen.select(
+        *keep, "language", F.col("shape.kind").alias("kind"),
+        F.regexp_replace("content", F.col("shape.pattern"), F.col("shape.replacement")).alias("marked"),
     )
+    lines = marked.select(
+        *keep, "language", "kind",
+        F.posexplode(F.when(F.contains("marked", F.lit(MARK)), F.split("marked", "\n", -1))).alias("index", "line"),
+    ).where(F.contains("line", F.lit(MARK)))
+    parts = lines.select(
+        *keep, "language", "kind", "index", F.posexplode(F.split("line", MARK, -1)).alias("part_no", "part")
+    ).where(F.col("part_no") > 0)
+    found = parts.select(
+        *keep, "language", "kind", F.substring_index("part", CAPTURE_END, 1).alias("name"),
+        (F.col("index") + 1).alias("line_number"),
+    )
+    capital = F.col("language").isin("javascript", "typescript") & (F.col("kind") == "function") & F.col(
+        "name"
+    ).rlike(r"^\p{Lu}")
+    return found.where((F.col("name") != "") & ~capital).drop("language")
+
+
+def js_symbols(files: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    return shape_symbols(files, keep, ("javascript", "typescript"))
 
 
 def java_symbols(files: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    keep = keep or ["file_id"]
-    return (
-        _shape(files, keep, ("java",), _JAVA_METHOD, "function")
-        .unionByName(_shape(files, keep, ("java",), C.JAVA_CLASS_SHAPE, "class"))
-        .unionByName(_shape(files, keep, ("java",), C.JAVA_IMPORT_SHAPE, "import"))
-    )
+    return shape_symbols(files, keep, ("java",))
 
 
 def go_symbols(files: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Functions (with receivers), structs as classes, quoted path-like strings as imports."""
-    keep = keep or ["file_id"]
-    return (
-        _shape(files, keep, ("go",), C.GO_FUNCTION_SHAPE, "function")
-        .unionByName(_shape(files, keep, ("go",), C.GO_STRUCT_SHAPE, "class"))
-        .unionByName(_shape(files, keep, ("go",), C.GO_IMPORT_SHAPE, "import"))
-    )
+    return shape_symbols(files, keep, ("go",))
 
 
-def python_symbols(files: DataFrame, keep: list[str] | None = None) -> DataFrame:
+def block_symbols(files: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Functions and classes of the languages that have extents."""
     keep = keep or ["file_id"]
-    def of(df, kind, line="start_line"):
-        return df.select(*keep, F.lit(kind).alias("kind"), "name", F.col(line).alias("line_number"))
-
-    imports = python_imports(files, keep).select(
-        *keep, F.lit("import").alias("kind"), F.col("module").alias("name"), F.lit(None).cast("int").alias("line_number")
-    )
-    return (
-        of(python_blocks(files, "function", keep), "function")
-        .unionByName(of(python_blocks(files, "class", keep), "class"))
-        .unionByName(imports)
-    )
+    blocks = code_blocks(files, ("function", "class"), GENERIC_LANGUAGES, keep)
+    kind = F.when(F.col("kind") == "generic", "function").otherwise(F.col("kind"))
+    return blocks.select(*keep, kind.alias("kind"), "name", F.col("start_line").alias("line_number"))
 
 
-def generic_symbols(files: DataFrame, keep: list[str] | None = None) -> DataFrame:
+def import_symbols(files: DataFrame, keep: list[str] | None = None) -> DataFrame:
     keep = keep or ["file_id"]
-    return generic_functions(files, keep=keep).select(
-        *keep, F.lit("function").alias("kind"), "name", F.col("start_line").alias("line_number")
+    return python_imports(files, keep).select(
+        *keep, F.lit("import").alias("kind"), F.col("module").alias("name"), F.lit(None).cast("int").alias("line_number")
     )
 
 
 def symbols(files: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """All symbols of all languages, one row each."""
     keep = keep or ["file_id"]
-    makers = (python_symbols, js_symbols, java_symbols, go_symbols, generic_symbols)
-    return reduce(DataFrame.unionByName, [make(files, keep) for make in makers])
+    return (
+        block_symbols(files, keep).unionByName(import_symbols(files, keep)).unionByName(shape_symbols(files, keep))
+    )
 
 
 def symbol_inventory(files: DataFrame, key: str = "file_id") -> DataFrame:
@@ -104,6 +118,7 @@ def symbol_inventory(files: DataFrame, key: str = "file_id") -> DataFrame:
 
 def most_imported(files: DataFrame) -> DataFrame:
     """Modules with the number of import statements that name them."""
-    return symbols(files).where(F.col("kind") == "import").groupBy(F.col("name").alias("module")).agg(
+    imports = import_symbols(files).unionByName(shape_symbols(files).where(F.col("kind") == "import"))
+    return imports.groupBy(F.col("name").alias("module")).agg(
         F.count("*").alias("imports")
     )
