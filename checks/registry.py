@@ -1,9 +1,9 @@
 """All registered queries: name → (function, SQL or None)."""
 
-from checks import q_blocks, q_files, q_rules
+from checks import q_blocks, q_files, q_history, q_rules
 
 ALL = {}
-for module in (q_files, q_rules, q_blocks):
+for module in (q_files, q_rules, q_blocks, q_history):
     overlap = set(ALL) & set(module.QUERIES)
     assert not overlap, overlap
     ALL.update(module.QUERIES)
