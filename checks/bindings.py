@@ -275,7 +275,7 @@ def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("d"), F.col("event_id").cast("string")).alias("delivery_id"),
         "event_type",
         _payload(F.col("event_type")).alias("body"),
-        F.col("ts").alias("received_at"),
+        F.col("ts").cast("timestamp").alias("received_at"),
         F.when(F.col("event_id") % 10 == 0, 2).otherwise(1).alias("copies"),
     )
     return rows.select(

@@ -180,5 +180,7 @@ def review_lifecycle(started: DataFrame, finished: DataFrame, limit: str = "1 ho
     return joined.select(
         "review_id", "started_at", "finished_at",
         F.coalesce("outcome", F.lit("timeout")).alias("outcome"),
-        (F.col("finished_at").cast("double") - F.col("started_at").cast("double")).alias("seconds"),
+        (
+            F.col("finished_at").cast("timestamp").cast("double") - F.col("started_at").cast("timestamp").cast("double")
+        ).alias("seconds"),
     )
