@@ -292,7 +292,10 @@ _CODE_VIEW = r'''"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|#[^\n]*'''
 def _code_rules_sql():
     parts = []
     for rule in rules_named("PY-BUG-AST001", "PY-SEC-AST001", "PY-PERF-AST003"):
-        pattern = rule.pattern.replace(r"(?<!\bdef )", "")
+        # the look-around parts in the words of the SQL dialect
+        pattern = rule.pattern.replace(r"(?=[ec])(?<!\bdef )", "").replace(
+            r"(?=[aslmt])(?<![.\w])", r"(?:^|[^.\w\n])"
+        )
         caught = f"lower(captures[1])" if rule.id == "PY-BUG-AST001" else "captures[1]"
         parts.append(f"""
           select file_id, {q(rule.id)} as rule_id, line_number, {caught} as name from (

@@ -185,11 +185,11 @@ def _(spark, sf):
         rows.repartitionByRange(1, at).write.parquet(folder)
         streams.append(spark.readStream.schema(rows.schema).parquet(folder))
     found = runs.run_available(E.review_lifecycle(*streams), "lifecycle")
-    last = started.agg(F.max("started_at").alias("last"))
+    last = started.agg(F.max("started_at")).scalar()
     closed = (F.col("outcome") != "timeout") | (
-        F.col("started_at") + F.expr("interval 1 hour") < F.col("last") - F.expr("interval 2 days")
+        F.col("started_at") + F.expr("interval 1 hour") < last - F.expr("interval 2 days")
     )
-    return plain(found.crossJoin(F.broadcast(last)).where(closed).drop("last"))
+    return plain(found.where(closed))
 
 
 @query("record_deliveries_stream", sql(["deliveries", "projects"], _RECORDS + f"""

@@ -15,7 +15,7 @@ from reviewlake.rules import catalog as C
 from reviewlake.rules.model import MARK
 
 # one physical line, continued over triple-quoted strings; possessive, so linear
-_TRIPLE = r'"""(?s:.*?)"""' + r"|'''(?s:.*?)'''"
+_TRIPLE = r"""(?<!['"])\"\"\"(?s:.*?)\"\"\"|(?<!['"])'''(?s:.*?)'''"""
 _REST = (
     r"(?:[^\n\"'#]++|" + _TRIPLE
     + r"|\"(?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\.)*+'|#[^\n]*+|[\"'])*+"
@@ -180,7 +180,9 @@ def python_imports(files: DataFrame, keep: list[str] | None = None) -> DataFrame
     """``import a.b as c, d`` → a.b, d; ``from m import x, y`` → m.x, m.y (brackets allowed)."""
     keep = keep or ["file_id"]
     python = files.where((F.col("language") == "python") & F.contains("content", F.lit("import")))
-    statement = r"(?md)^[ \t]*(?:from[ \t]+(\.*[\w.]*)[ \t]+)?import[ \t]+(\([^)]*\)|[^\n#;(]+)"
+    statement = (
+        rf"(?md)(?:{_TRIPLE})|^[ \t]*(?:from[ \t]+(\.*[\w.]*)[ \t]+)?import[ \t]+(\([^)]*\)|(?:\\\n|[^\n#;(])+)"
+    )
     rows = python.select(
         *keep,
         F.explode(

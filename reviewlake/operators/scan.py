@@ -31,7 +31,7 @@ MAX_RULES = 20_000  # rules travel inside the plan
 _RULE_TYPE = (
     "array<struct<id string, category string, severity string, message string,"
     " suggestion string, guard string, view string, ascii string, unicode string,"
-    " replacement string>>"
+    " replacement string, precheck string, needs array<array<string>>>>"
 )
 
 CODE_VIEW = r""""(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'|#[^\n]*"""
@@ -61,42 +61,41 @@ def rules_literal(rules: Sequence[Rule]) -> Column:
             "id": r.id, "category": r.category, "severity": r.severity, "message": r.message,
             "suggestion": r.suggestion, "guard": r.guard, "view": r.view,
             "ascii": _flags(r, False) + r.pattern, "unicode": _flags(r, True) + r.pattern,
-            "replacement": r.replacement,
+            "replacement": r.replacement, "precheck": r.precheck or None,
+            "needs": required_literals(r.pattern),
         }
         for r in rules
     ]
     return F.from_json(F.lit(json.dumps(rows)), _RULE_TYPE)
 
 
-def _quoted(text: str) -> str:
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+def _candidates(rules: Sequence[Rule], table: Column) -> Column:
+    """Numbers (from 1) of the rules worth trying on a file.
 
-
-def _candidates(rules: Sequence[Rule], folded: str, language: str) -> str:
-    """SQL for the array of (1-based) rule numbers worth trying on a file; null = no."""
-
-    def one(number: int, rule: Rule) -> str:
-        needs = rule.needs or required_literals(rule.pattern)
-        if not needs:
-            return str(number)
-        test = " or ".join(f"contains({folded}, {_quoted(n)})" for n in needs)
-        return f"if({test}, {number}, null)"
-
-    def many(chosen) -> str:
-        inner = ", ".join(one(n, r) for n, r in chosen)
-        return f"array({inner})" if inner else "cast(array() as array<int>)"
-
-    numbered = list(enumerate(rules, 1))
-    common = [(n, r) for n, r in numbered if "*" in r.languages]
+    A rule is one if it applies to the language and the case-folded text holds a literal of each
+    set its pattern needs. The rules are data in the plan and not expressions, so the plan stays
+    small however many there are.
+    """
     languages = sorted({x for r in rules for x in r.languages if x != "*"})
-    cases = " ".join(
-        f"when {_quoted(name)} then "
-        + many([(n, r) for n, r in numbered if "*" not in r.languages and name in r.languages])
-        for name in languages
+    by_language = {
+        name: [n for n, r in enumerate(rules, 1) if r.applies_to(name)] for name in languages
+    }
+    common = [n for n, r in enumerate(rules, 1) if "*" in r.languages]
+    numbers = F.coalesce(
+        F.try_element_at(F.from_json(F.lit(json.dumps(by_language)), "map<string,array<int>>"), F.col("language")),
+        F.from_json(F.lit(json.dumps(common)), "array<int>"),
     )
-    if not cases:
-        return many(common)
-    return f"concat({many(common)}, case {language} {cases} else cast(array() as array<int>) end)"
+
+    def worth_trying(n: Column) -> Column:
+        rule = F.element_at(table, n)
+        holds = F.forall(
+            rule["needs"], lambda one_of: F.exists(one_of, lambda l: F.contains(F.col("folded"), l))
+        )
+        return holds & F.when(rule["precheck"].isNull(), True).otherwise(
+            F.rlike(F.col("content"), rule["precheck"])
+        )
+
+    return F.filter(numbers, worth_trying)
 
 
 def scan_rules(
@@ -130,8 +129,8 @@ def scan_rules(
     )
     candidates = prepared.select(
         *keep, "language", "content", "code", "ascii",
-        F.explode(F.expr(_candidates(rules, "folded", "language"))).alias("rule_no"),
-    ).where(F.col("rule_no").isNotNull())
+        F.explode(_candidates(rules, table)).alias("rule_no"),
+    )
 
     ruled = candidates.withColumn("rule", F.element_at(table, F.col("rule_no")))
     code_rule = F.col("rule.view") == "code"
@@ -144,23 +143,31 @@ def scan_rules(
         ).alias("marked"),
         F.when(code_rule, F.split("content", "\n", -1)).alias("source_lines"),
     )
-    # the test for a mark sits inside the generator: as a filter it would be pushed below the
-    # projection and run the pattern a second time
+    # lines with a mark are picked inside the row: a filter on exploded lines would walk over
+    # every line of every candidate, and one on the text would be pushed down and run the
+    # pattern twice
+    picked = F.array_compact(
+        F.transform(
+            F.split("marked", "\n", -1),
+            lambda line, i: F.when(
+                F.contains(line, F.lit(MARK)), F.struct((i + 1).alias("line_number"), line.alias("marked_line"))
+            ),
+        )
+    )
     has_mark = F.contains("marked", F.lit(MARK))
     lines = marked.select(
-        *keep, "language", "rule_no", "rule", "source_lines",
-        F.posexplode(F.when(has_mark, F.split("marked", "\n", -1))).alias("line_index", "marked_line"),
-    ).where(F.contains("marked_line", F.lit(MARK)))
+        *keep, "language", "rule_no", "rule", "source_lines", F.inline(F.when(has_mark, picked))
+    )
 
     first = F.substring_index(F.substring_index("marked_line", MARK, 2), MARK, -1)
     captured = F.split(F.substring_index(first, CAPTURE_END, 1), CAPTURE_SEP, -1)
     unmarked = F.regexp_replace("marked_line", f"{MARK}[^{CAPTURE_END}]*{CAPTURE_END}", "")
     located = lines.select(
         *keep, "language", "rule_no", "rule",
-        (F.col("line_index") + 1).alias("line_number"),
+        "line_number",
         F.element_at(captured, 1).alias("first_capture"),
         F.coalesce(F.try_element_at(captured, F.lit(2)), F.lit("")).alias("second_capture"),
-        F.coalesce(F.element_at("source_lines", F.col("line_index") + 1), unmarked).alias("line"),
+        F.coalesce(F.element_at("source_lines", F.col("line_number")), unmarked).alias("line"),
     )
     kept = located.withColumn("stripped", X.strip(F.col("line"))).where(_passes_guard())
     return kept.select(*keep, *_finding_columns())

@@ -53,10 +53,13 @@ def shape_symbols(
         *keep, "language", F.col("shape.kind").alias("kind"),
         F.regexp_replace("content", F.col("shape.pattern"), F.col("shape.replacement")).alias("marked"),
     )
-    lines = marked.select(
-        *keep, "language", "kind",
-        F.posexplode(F.when(F.contains("marked", F.lit(MARK)), F.split("marked", "\n", -1))).alias("index", "line"),
-    ).where(F.contains("line", F.lit(MARK)))
+    picked = F.array_compact(
+        F.transform(
+            F.split("marked", "\n", -1),
+            lambda line, i: F.when(F.contains(line, F.lit(MARK)), F.struct(i.alias("index"), line.alias("line"))),
+        )
+    )
+    lines = marked.select(*keep, "language", "kind", F.inline(F.when(F.contains("marked", F.lit(MARK)), picked)))
     parts = lines.select(
         *keep, "language", "kind", "index", F.posexplode(F.split("line", MARK, -1)).alias("part_no", "part")
     ).where(F.col("part_no") > 0)

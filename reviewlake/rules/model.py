@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, replace
+from functools import lru_cache
 
 from reviewlake.rules import catalog as C
 
@@ -38,7 +39,7 @@ class Rule:
     rest: int = 0
     view: str = "content"
     step: int = 0
-    needs: tuple[str, ...] = field(default=())
+    precheck: str = ""  # a pattern every matching text holds, tried before the costly one
 
     def applies_to(self, language: str) -> bool:
         return "*" in self.languages or language in self.languages
@@ -80,6 +81,7 @@ LOOP_CALL = block_with(_FOR_NAMES, C.N_PLUS_ONE_PYTHON_CALLS)
 WHILE_GROWS = block_with(_WHILE_TRUE, r"\w+\.(?:append|add|update|push)\s*\(", at_line_start=True)
 
 _GROWS = r"for\s+\w+[^\n]*:\s*\n\s+\1\.(?:append|extend)\s*\("
+GROWING_LOOP = r"(?md)^for\s+\w+[^\n]*:\s*\n\s+\w+\.(?:append|extend)\s*\("
 LIST_GROWS = rf"(\w+)\s*=\s*\[\]\s*\n(?:(?!{_GROWS})[^\n]*\n)*+{_GROWS}"
 
 _WRITE = r"\s*\w+\s*[+-]?="
@@ -200,7 +202,7 @@ def security_rules() -> list[Rule]:
         *pack(C.COMMAND_INJECTION, C.COMMAND_INJECTION_MESSAGE,
               C.COMMAND_INJECTION_SUGGESTION, 4, guard="comment"),
         Rule("PY-SEC-AST001", "security", "critical",
-             r"(?<!\bdef )\b(eval|exec|compile)[ \t]*\(", "`{1}()` executes arbitrary code",
+             r"(?=[ec])(?<!\bdef )\b(eval|exec|compile)[ \t]*\(", "`{1}()` executes arbitrary code",
              "Remove `{1}()`. Use safe alternatives.", ("python",), flags="m", captures=(1,),
              guard="comment", view="code", step=5),
         Rule("PY-SEC-AST002", "security", "critical",
@@ -239,12 +241,13 @@ def performance_rules() -> list[Rule]:
         ]
     spelled = {"PERF-UNB001": WHILE_GROWS, "PERF-UNB002": LIST_GROWS}
     rules += [
-        Rule(rule_id, "performance", "warning", spelled[rule_id], message, suggestion, flags="m", step=4)
+        Rule(rule_id, "performance", "warning", spelled[rule_id], message, suggestion, flags="m", step=4,
+             precheck=GROWING_LOOP if rule_id == "PERF-UNB002" else "")
         for rule_id, message, suggestion in C.UNBOUNDED_COLLECTIONS
     ]
     rules.append(
         Rule("PY-PERF-AST003", "performance", "suggestion",
-             r"(?:^|[^.\w\n])(sum|any|all|min|max|sorted|list|set|tuple)[ \t]*\("
+             r"(?=[aslmt])(?<![.\w])(sum|any|all|min|max|sorted|list|set|tuple)[ \t]*\("
              r"(?:[^()\[\]\n]*,)?[ \t]*\[[^\[\]\n]*\bfor\b",
              "List comprehension inside `{1}()` — use generator expression",
              "Remove `[]` to use a generator expression.", ("python",), flags="m",
@@ -301,8 +304,6 @@ _STRICT_CASE = ("PY-STY001", "PY-STY002", "PY-STY003", "GO-STY001", "RS-STY001",
 
 def strict_case(rules: list[Rule]) -> list[Rule]:
     """Naming rules matched with case, as their messages intend; the default ignores case."""
-    from dataclasses import replace
-
     return [replace(r, flags=r.flags.replace("i", "")) if r.id in _STRICT_CASE else r for r in rules]
 
 
@@ -313,45 +314,51 @@ except ImportError:  # older Python
     import sre_parse as _regex_parser
 
 
-def _needed(tree) -> list[str] | None:
-    """Alternatives of which a match must hold at least one; None when nothing is known."""
-    best: list[str] | None = None
+def _needed(tree) -> list[list[str]]:
+    """Sets of alternatives; a match holds at least one literal of every set."""
+    sets: list[list[str]] = []
     run = ""
 
-    def offer(candidate):
-        nonlocal best
-        if candidate and all(candidate):
-            if best is None or min(map(len, candidate)) > min(map(len, best)):
-                best = candidate
+    def flush():
+        nonlocal run
+        if run:
+            sets.append([run])
+        run = ""
 
     for op, arg in tree:
         name = str(op)
         if name == "LITERAL":
             run += chr(arg)
             continue
-        offer([run] if run else None)
-        run = ""
+        flush()
         if name == "SUBPATTERN":
-            offer(_needed(arg[3]))
+            sets += _needed(arg[3])
         elif name == "ATOMIC_GROUP":
-            offer(_needed(arg))
+            sets += _needed(arg)
         elif name == "BRANCH":
-            parts = [_needed(b) for b in arg[1]]
+            parts = [_best(_needed(b), 1) for b in arg[1]]
             if all(parts):
-                offer([x for part in parts for x in part])
+                sets.append([x for part in parts for x in part[0]])
         elif name == "IN":
             if all(str(o) == "LITERAL" for o, _ in arg):
-                offer([chr(a) for _, a in arg])
+                sets.append([chr(a) for _, a in arg])
         elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT") and arg[0] > 0:
-            offer(_needed(arg[2]))
-    offer([run] if run else None)
-    return best
+            sets += _needed(arg[2])
+    flush()
+    return sets
+
+
+def _best(sets: list[list[str]], n: int) -> list[list[str]]:
+    """The most telling sets: longest shortest literal, then fewest alternatives."""
+    return sorted(sets, key=lambda s: (-min(map(len, s)), len(s)))[:n]
 
 
-def required_literals(pattern: str) -> tuple[str, ...]:
-    """Lower-case literals, one of which every matching text contains (empty: unknown)."""
+@lru_cache(maxsize=None)
+def required_literals(pattern: str, sets: int = 3) -> tuple[tuple[str, ...], ...]:
+    """Lower-case literals every matching text contains: one of each set (empty: unknown)."""
     try:
         found = _needed(_regex_parser.parse(pattern.replace(r"\z", r"\Z"), re.MULTILINE))
     except re.error:
         return ()
-    return tuple(dict.fromkeys(x.lower() for x in found or ()))
+    lowered = [tuple(dict.fromkeys(x.lower() for x in s)) for s in found]
+    return tuple(dict.fromkeys(tuple(s) for s in _best([list(s) for s in lowered], sets)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reviewlake import schemas
@@ -151,15 +151,33 @@ def event_rates(
 def event_sessions(
     deliveries: DataFrame, gap: str = "30 minutes", late: str = "1 day", by: tuple[str, ...] = ("event_type",)
 ) -> DataFrame:
-    """Bursts of deliveries with no pause of ``gap`` in between."""
-    source = deliveries.withWatermark("received_at", late) if deliveries.isStreaming else deliveries
-    return (
-        source.groupBy(F.session_window("received_at", gap), *by).agg(F.count("*").alias("deliveries"))
-        .select(
-            F.col("session_window.start").alias("starts"), F.col("session_window.end").alias("ends"), *by,
-            "deliveries",
+    """Bursts of deliveries with no pause of ``gap`` in between.
+
+    A stream keeps session state. A table is first summed per key and time slot as wide as the
+    gap (rows of one slot are always in one burst), so what is ordered per key is bounded by the
+    time covered and not by the number of deliveries.
+    """
+    if deliveries.isStreaming:
+        return (
+            deliveries.withWatermark("received_at", late)
+            .groupBy(F.session_window("received_at", gap), *by).agg(F.count("*").alias("deliveries"))
+            .select(
+                F.col("session_window.start").alias("starts"), F.col("session_window.end").alias("ends"),
+                *by, "deliveries",
+            )
         )
+    pause = F.expr(f"interval {gap}")
+    slots = deliveries.groupBy(F.window("received_at", gap).alias("_slot"), *by).agg(
+        F.min("received_at").alias("_first"), F.max("received_at").alias("_last"), F.count("*").alias("_n")
+    )
+    order = Window.partitionBy(*by).orderBy("_first")
+    opens = F.coalesce(F.col("_first") >= F.lag("_last").over(order) + pause, F.lit(True))
+    runs = slots.withColumn("_opens", opens.cast("int")).withColumn(
+        "_run", F.sum("_opens").over(order.rowsBetween(Window.unboundedPreceding, 0))
     )
+    return runs.groupBy(*by, "_run").agg(
+        F.min("_first").alias("starts"), (F.max("_last") + pause).alias("ends"), F.sum("_n").alias("deliveries")
+    ).select("starts", "ends", *by, "deliveries")
 
 
 def review_lifecycle(started: DataFrame, finished: DataFrame, limit: str = "1 hour") -> DataFrame:
