@@ -22,22 +22,17 @@ def penalty() -> Column:
 def file_scores(files: DataFrame, findings: DataFrame, key: str = "file_id") -> DataFrame:
     """Files with findings count, severity counts and score; a file without findings has 100.
 
-    Files and findings are stacked and aggregated once, so the findings of a file are combined
-    on the map side and no join is needed.
+    Findings are counted per file first, on the map side and in hash tables, so what meets the
+    files is one narrow row per file.
     """
-    carried = [c for c in files.columns if c != key]
-    stacked = files.select(
-        key, F.struct(*carried).alias("_file"), F.lit(None).cast("string").alias("severity")
-    ).unionByName(findings.select(key, "severity"), allowMissingColumns=True)
-    summed = stacked.groupBy(key).agg(
-        F.max("_file").alias("_file"),
-        F.count("severity").alias("findings_count"),
-        *severity_counts(),
-        F.coalesce(F.sum(F.when(F.col("severity").isNotNull(), severity_weight(F.col("severity")))), F.lit(0)).alias("penalty"),
+    counted = findings.groupBy(F.col(key).alias("_key")).agg(
+        F.count("*").alias("findings_count"), *severity_counts(), penalty().alias("penalty")
     )
-    return summed.where(F.col("_file").isNotNull()).select(
-        key, "_file.*", "findings_count", *[f"{n}_count" for n in C.SEVERITY_WEIGHTS], "penalty",
-        clamp_score(F.col("penalty")).alias("score"),
+    counts = [c for c in counted.columns if c != "_key"]
+    return files.join(counted, F.col(key) == F.col("_key"), "left").select(
+        *files.columns,
+        *[F.coalesce(c, F.lit(0)).alias(c) for c in counts],
+        clamp_score(F.coalesce("penalty", F.lit(0))).alias("score"),
     )
 
 

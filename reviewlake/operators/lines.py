@@ -107,6 +107,9 @@ def duplicate_blocks(
     )
 
 
+_PLACES = 10_000_000  # more than the lines of any file
+
+
 def corpus_duplicate_blocks(
     files: DataFrame, key: str = "file_id", size: int = C.DUPLICATE_BLOCK_LINES
 ) -> DataFrame:
@@ -122,15 +125,15 @@ def corpus_duplicate_blocks(
         lambda i: F.md5(F.array_join(F.slice("filled", i, size), "\n")),
     )
     rows = texts.select(key, F.posexplode(windows).alias("_index", "block"))
+    # the first place as one number, which keeps the aggregate in hash tables
+    place = F.col(key).cast("decimal(19,0)") * _PLACES + (F.col("_index") + 1)
     return (
         rows.groupBy("block")
-        .agg(
-            F.count("*").alias("occurrences"),
-            F.min(F.struct(F.col(key), (F.col("_index") + 1).alias("position"))).alias("_first"),
-        )
+        .agg(F.count("*").alias("occurrences"), F.min(place.cast("decimal(38,0)")).alias("_first"))
         .where(F.col("occurrences") > 1)
         .select(
             "block", "occurrences",
-            F.col("_first")[key].alias("first_file"), F.col("_first.position").alias("first_position"),
+            F.floor(F.col("_first") / _PLACES).cast("bigint").alias("first_file"),
+            (F.col("_first") % _PLACES).cast("int").alias("first_position"),
         )
     )

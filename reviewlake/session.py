@@ -31,19 +31,22 @@ def local_session(app: str = "reviewlake", cores: str = "8", **conf: str) -> Spa
     return spark
 
 
+_fallback: str | None = None
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors can reach, as named by the cluster.
+    """The folder all executors can reach, as the session names it.
 
-    Only where the setting is absent (a local run) a temporary folder is set up.
+    Only where the setting is absent, as in a bare local run, a temporary folder is made.
     """
-    configured = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(
-        CHECKPOINT_CONF
-    )
+    global _fallback
+    configured = spark.conf.get(CHECKPOINT_CONF, None)
     if configured:
         return configured.rstrip("/")
-    folder = tempfile.mkdtemp(prefix="reviewlake-")
-    spark.conf.set(CHECKPOINT_CONF, folder)
-    return folder
+    if _fallback is None:
+        _fallback = tempfile.mkdtemp(prefix="reviewlake-")
+        spark.sparkContext.setCheckpointDir(_fallback)
+    return _fallback
 
 
 def run_folder(spark: SparkSession, name: str) -> str:
