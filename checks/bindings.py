@@ -6,11 +6,12 @@ derivation of them. ``bindings_sql`` states the same derivations for the SQL che
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks.snippets import SNIPPETS
-from reviewlake import schemas
 from reviewlake.rules.catalog import MAX_FILE_KB
 
 EXTENSIONS = (".py", ".js", ".ts", ".go", ".rs", ".java", ".rb", ".sol", ".css", "")
@@ -22,7 +23,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def constant_array(values) -> Column:
-    return F.from_json(F.lit(__import__("json").dumps(list(values))), "array<string>")
+    return F.from_json(F.lit(json.dumps(list(values))), "array<string>")
 
 
 def snippet_lines(lineitem: DataFrame, levels: int) -> DataFrame:
@@ -35,29 +36,31 @@ def snippet_lines(lineitem: DataFrame, levels: int) -> DataFrame:
     return lineitem.select("*", code.alias("code"))
 
 
+def _sizes(lines: DataFrame, key: str, text: str) -> DataFrame:
+    return lines.groupBy(key).agg(
+        (F.sum(F.octet_length(text) + 1) - 1).alias("content_bytes"),
+        F.count_if(F.col("l_returnflag") == "A").alias("additions"),
+        F.count_if(F.col("l_returnflag") == "R").alias("deletions"),
+    )
+
+
 def _joined(lines: DataFrame, key: str, order: list[str], text: str, alias: str) -> DataFrame:
-    """Lines of one key joined in order.
+    """Lines of one key joined in order, for keys within the size limit of a file.
 
-    A key whose text passes the size limit of a file is never put together: its size is summed
-    first, and its content stays null with the size kept, since such a file is not analysed.
-    So no group that is collected exceeds the limit, whatever the skew.
+    A key whose text passes the limit is never put together, since such a file is not analysed:
+    sizes are summed first, and the few large keys are taken out of the lines. So no group that
+    is collected exceeds the limit, whatever the skew.
     """
-    limit = MAX_FILE_KB * 1024
-    sizes = lines.groupBy(key).agg(
-        (F.sum(F.octet_length(text) + 1) - 1).alias("content_bytes")
-    )
-    oversize = sizes.where(F.col("content_bytes") > limit)
-    fitting = lines.join(oversize.select(key), key, "left_anti")
-    joined = fitting.groupBy(key).agg(
+    large = _sizes(lines, key, text).where(F.col("content_bytes") > MAX_FILE_KB * 1024).select(key)
+    return lines.join(large, key, "left_anti").groupBy(key).agg(
         F.array_join(
             F.transform(
-                F.array_sort(F.collect_list(F.struct(*order, F.col(text).alias("_text")))),
+                F.sort_array(F.collect_list(F.struct(*order, F.col(text).alias("_text")))),
                 lambda s: s["_text"],
             ),
             "\n",
         ).alias(alias)
-    ).withColumn("content_bytes", F.octet_length(alias).cast("bigint"))
-    return joined.unionByName(oversize.select(key, "content_bytes"), allowMissingColumns=True)
+    )
 
 
 def file_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,27 +80,19 @@ def file_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pr_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Changed files with content: short files, a few snippets each."""
+    """Changed files with content: short files, a few snippets each. A file above the size limit
+    keeps its size and has no content."""
     lines = snippet_lines(table(spark, sf_dir, "lineitem"), 3)
     order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
-    content = _joined(
-        lines.select("l_orderkey", *order, "code"), "l_orderkey", order, "code", "content"
-    )
-    counts = lines.groupBy("l_orderkey").agg(
-        F.count_if(F.col("l_returnflag") == "A").alias("additions"),
-        F.count_if(F.col("l_returnflag") == "R").alias("deletions"),
-    )
-    return (
-        file_headers(spark, sf_dir)
-        .join(content, F.col("file_id") == F.col("l_orderkey"), "left").drop("l_orderkey")
-        .join(counts, F.col("file_id") == F.col("l_orderkey"), "left").drop("l_orderkey")
-        .select(
-            "file_id", "review_id", "filename", "status",
-            F.coalesce("additions", F.lit(0)).alias("additions"),
-            F.coalesce("deletions", F.lit(0)).alias("deletions"),
-            F.when(F.col("content_bytes").isNull(), F.lit("")).otherwise(F.col("content")).alias("content"),
-            F.coalesce("content_bytes", F.lit(0)).alias("content_bytes"),
-        )
+    lines = lines.select("l_orderkey", *order, "l_returnflag", "code")
+    content = _joined(lines, "l_orderkey", order, "code", "content")
+    both = _sizes(lines, "l_orderkey", "code").join(content, "l_orderkey", "left")
+    return file_headers(spark, sf_dir).join(both, F.col("file_id") == F.col("l_orderkey"), "left").select(
+        "file_id", "review_id", "filename", "status",
+        F.coalesce("additions", F.lit(0)).alias("additions"),
+        F.coalesce("deletions", F.lit(0)).alias("deletions"),
+        F.when(F.col("content_bytes").isNull(), F.lit("")).otherwise(F.col("content")).alias("content"),
+        F.coalesce("content_bytes", F.lit(0)).alias("content_bytes"),
     )
 
 
@@ -105,7 +100,10 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long files: all snippets of one supplier."""
     lines = snippet_lines(table(spark, sf_dir, "lineitem"), 5)
     order = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_shipdate"]
-    joined = _joined(lines.select("l_suppkey", *order, "code"), "l_suppkey", order, "code", "content")
+    lines = lines.select("l_suppkey", *order, "l_returnflag", "code")
+    joined = _sizes(lines, "l_suppkey", "code").join(
+        _joined(lines, "l_suppkey", order, "code", "content"), "l_suppkey", "left"
+    )
     languages = constant_array(
         ("python", "rust", "ruby", "solidity", "javascript", "go", "java", "typescript")
     )
@@ -128,7 +126,7 @@ def patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.when(F.col("l_linenumber").isin(1, 4), F.concat_ws("\n", hunk, signed)).otherwise(signed)
     order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
     return _joined(
-        lines.select("l_orderkey", *order, text.alias("diff")), "l_orderkey", order, "diff", "patch"
+        lines.select("l_orderkey", *order, "l_returnflag", text.alias("diff")), "l_orderkey", order, "diff", "patch"
     ).select(F.col("l_orderkey").alias("file_id"), "patch")
 
 

@@ -402,7 +402,7 @@ def _(spark, sf):
     0 as additions from file_headers"""))
 def _(spark, sf):
     folder = run_folder(spark, "pr-nested")
-    files = F.array_sort(F.collect_list(F.struct("file_id", "filename", "status")))
+    files = F.sort_array(F.collect_list(F.struct("file_id", "filename", "status")))
     B.file_headers(spark, sf).groupBy("review_id").agg(files.alias("files")).select(
         F.col("review_id").cast("int").alias("number"),
         F.transform("files", lambda f: F.struct(f["filename"].alias("filename"), f["status"].alias("status"))).alias("files"),

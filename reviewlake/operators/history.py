@@ -75,7 +75,7 @@ def reviews_by_status(reviews: DataFrame) -> DataFrame:
 def status_map(reviews: DataFrame) -> DataFrame:
     """The same as one map value; the group is the handful of statuses."""
     return reviews_by_status(reviews).agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("status", "reviews")))).alias("by_status")
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("status", "reviews")))).alias("by_status")
     )
 
 
@@ -127,7 +127,7 @@ def nested_reviews(
     pieces = (
         with_part(findings, ["file_id"], F.col("ordinal"), limit, "piece")
         .groupBy("file_id", "piece")
-        .agg(F.array_sort(F.collect_list(F.struct("ordinal", *detail))).alias("findings"))
+        .agg(F.sort_array(F.collect_list(F.struct("ordinal", *detail))).alias("findings"))
     )
     files = file_reviews.join(pieces, "file_id", "left").withColumn(
         "piece", F.coalesce("piece", F.lit(0).cast("bigint"))
@@ -141,7 +141,7 @@ def nested_reviews(
         with_part(files, ["review_id"], F.col("file_id") + F.col("piece"), limit)
         .groupBy("review_id", "part")
         .agg(
-            F.array_sort(
+            F.sort_array(
                 F.collect_list(F.struct("file_id", "piece", *columns, nested.alias("findings")))
             ).alias("files")
         )

@@ -38,12 +38,19 @@ def _count(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(0)).cast("string")
 
 
-def _piece(df: DataFrame, section: int, text: Column, k1=0, k2=0, k3=0, k4=0, key: str = "review_id") -> DataFrame:
+def _piece(section: int, text: Column, k1=0, k2=0, k3=0, k4=0, when: Column | None = None) -> Column:
     keys = [
         (k if isinstance(k, Column) else F.lit(k)).cast("bigint").alias(n)
         for n, k in zip(ORDER[1:], (k1, k2, k3, k4))
     ]
-    return df.select(key, F.lit(section).alias("section"), *keys, text.alias("text"))
+    piece = F.struct(F.lit(section).alias("section"), *keys, text.alias("text"))
+    return piece if when is None else F.when(when, piece)
+
+
+def _pieces(df: DataFrame, *pieces: Column) -> DataFrame:
+    """All pieces of a row from one pass over the table."""
+    made = df.select("review_id", F.explode(F.array(*pieces)).alias("p")).where(F.col("p").isNotNull())
+    return made.select("review_id", "p.*")
 
 
 def _review_score() -> Column:
@@ -82,7 +89,7 @@ def report_parts(
         if "ai_summary" in reviews.columns else F.lit("")
     )
     head = _piece(
-        reviews, 0,
+        0,
         _say(
             "# Code Review Report\n\n**PR:** [", F.col("pr_title"), "](", F.col("pr_url"), ")\n**Date:** ",
             F.date_format("created_at", "yyyy-MM-dd HH:mm"), " UTC\n**Score:** ", one_decimal(score),
@@ -95,14 +102,14 @@ def report_parts(
         ),
     )
     with_files = files.select("review_id").distinct()
-    files_head = _piece(with_files, 1, F.lit("## File Analysis\n"))
+    files_head = _piece(1, F.lit("## File Analysis\n"))
 
     per_file = findings.groupBy("file_id").agg(F.count("*").alias("_listed"))
     counted = files.join(per_file, "file_id", "left").withColumn("_listed", F.coalesce("_listed", F.lit(0)))
     shown = F.coalesce(F.col("findings_count"), F.col("_listed")) if "findings_count" in files.columns else F.col("_listed")
     file_score = _file_score(zero_is_full)
     file_head = _piece(
-        counted, 2,
+        2,
         _say(
             "### `", F.col("filename"), "`\n\n**Language:** ", capitalise(F.col("language")), " | **Score:** ",
             one_decimal(file_score), "/100 (", score_label(file_score), ") | **Findings:** ", shown, "\n\n",
@@ -113,12 +120,12 @@ def report_parts(
         ),
         k1=F.col("file_id"), k2=0,
     )
-    table_end = _piece(counted.where("_listed > 0"), 2, F.lit(""), k1=F.col("file_id"), k2=2)
+    table_end = _piece(2, F.lit(""), k1=F.col("file_id"), k2=2, when=F.col("_listed") > 0)
 
     located = _located(findings, files)
     line = F.col("line_number")
-    rows = _piece(
-        located, 2,
+    row = _piece(
+        2,
         _say(
             "| ", F.upper("severity"), " | ",
             F.when(line.isNull() | (line == 0), "-").otherwise(line.cast("string")), " | ",
@@ -131,8 +138,8 @@ def report_parts(
     criticals = located.where(F.col("severity") == "critical").withColumn("_nth", nth).where(
         F.col("_nth") <= CRITICALS_PER_FILE
     )
-    snippets = _piece(
-        criticals.where(F.coalesce("code_snippet", F.lit("")) != ""), 2,
+    snippet = _piece(
+        2,
         _say(
             "**Critical at line ", _or_none("line_number"), ":**\n```\n", F.col("code_snippet"), "\n```\n",
             F.when(F.coalesce("suggestion", F.lit("")) != "", F.concat(F.lit("> "), "suggestion", F.lit("\n"))).otherwise(""),
@@ -141,31 +148,33 @@ def report_parts(
     )
 
     rank = F.array_position(F.array(*[F.lit(c) for c in REPORT_CATEGORIES]), F.col("category"))
-    listed = located.withColumn("_rank", rank)
-    categories_head = _piece(
-        located.select("review_id").distinct(), 3, F.lit("## Findings by Category\n")
-    )
-    per_category = (
-        listed.where("_rank > 0").groupBy("review_id", "category", "_rank").agg(F.count("*").alias("_n"))
-    )
+    categories_head = _piece(3, F.lit("## Findings by Category\n"))
+    per_category = located.groupBy("review_id", "category").agg(F.count("*").alias("_n"))
     category_head = _piece(
-        per_category, 4, _say("### ", capitalise(F.col("category")), " (", F.col("_n"), ")\n"), k1=F.col("_rank"), k2=-1
+        4, _say("### ", capitalise(F.col("category")), " (", F.col("_n"), ")\n"), k1=rank, k2=-1, when=rank > 0
     )
-    category_end = _piece(per_category, 4, F.lit(""), k1=F.col("_rank"), k2=9)
-    bullets = _piece(
-        listed.where("_rank > 0"), 4,
+    category_end = _piece(4, F.lit(""), k1=rank, k2=9, when=rank > 0)
+    bullet = _piece(
+        4,
         _say(
             "- `", F.col("severity"), "` **", F.col("filename"), ":", _or_none("line_number"), "** — ",
             F.col("message"),
             F.when(F.coalesce("suggestion", F.lit("")) != "", F.concat(F.lit("\n  - Fix: "), "suggestion")).otherwise(""),
         ),
-        k1=F.col("_rank"), k2=severity_rank(F.col("severity")), k3=F.col("file_id"), k4=F.col("ordinal"),
+        k1=rank, k2=severity_rank(F.col("severity")), k3=F.col("file_id"), k4=F.col("ordinal"), when=rank > 0,
     )
-    foot = _piece(reviews, 9, F.lit(f"---\n{FOOTER}"))
+    foot = _piece(9, F.lit(f"---\n{FOOTER}"))
     return reduce(
         DataFrame.unionByName,
-        [head, files_head, file_head, rows, table_end, snippets, categories_head, category_head, bullets,
-         category_end, foot],
+        [
+            _pieces(reviews, head, foot),
+            _pieces(with_files, files_head),
+            _pieces(counted, file_head, table_end),
+            _pieces(located, row, bullet),
+            _pieces(criticals.where(F.coalesce("code_snippet", F.lit("")) != ""), snippet),
+            _pieces(per_category.select("review_id").distinct(), categories_head),
+            _pieces(per_category, category_head, category_end),
+        ],
     )
 
 
@@ -179,7 +188,7 @@ def comment_parts(
         if "ai_summary" in reviews.columns else F.lit("")
     )
     head = _piece(
-        reviews, 0,
+        0,
         _say(
             "## Code Review — ", one_decimal(score), "/100 (", score_label(score), ")\n\n"
             "| Files | +Added | -Removed | Critical | Warning | Suggestion |\n"
@@ -191,14 +200,12 @@ def comment_parts(
     )
     critical = _located(findings, files).where(F.col("severity") == "critical")
     counts = critical.groupBy("review_id").agg(F.count("*").alias("_n"))
-    opening = _piece(
-        counts, 1, _say("<details>\n<summary>Critical Issues (", F.col("_n"), ")</summary>\n"), k1=0
-    )
-    closing = _piece(counts, 1, F.lit("</details>\n"), k1=2)
+    opening = _piece(1, _say("<details>\n<summary>Critical Issues (", F.col("_n"), ")</summary>\n"), k1=0)
+    closing = _piece(1, F.lit("</details>\n"), k1=2)
     nth = F.row_number().over(Window.partitionBy("review_id").orderBy("file_id", "ordinal"))
     top = critical.withColumn("_nth", nth).where(F.col("_nth") <= CRITICALS_PER_COMMENT)
-    issues = _piece(
-        top, 1,
+    issue = _piece(
+        1,
         _say(
             "**`", F.col("filename"), "`:", _or_none("line_number"), "** — ", F.col("message"), "\n",
             F.when(F.coalesce("suggestion", F.lit("")) != "", F.concat(F.lit("> "), "suggestion", F.lit("\n"))).otherwise(""),
@@ -208,28 +215,34 @@ def comment_parts(
     )
     with_files = files.select("review_id").distinct()
     table_head = _piece(
-        with_files, 2,
+        2,
         F.lit("<details>\n<summary>File Scores</summary>\n\n| File | Language | Score | Critical | Warnings |\n"
               "|------|----------|-------|----------|----------|"),
     )
-    table_end = _piece(with_files, 4, F.lit("\n</details>\n"))
+    table_end = _piece(4, F.lit("\n</details>\n"))
     file_score = _file_score(zero_is_full)
     counted = files.join(severity_pivot(findings), "file_id", "left")
-    rows = _piece(
-        counted, 3,
+    row = _piece(
+        3,
         _say("| `", F.col("filename"), "` | ", F.col("language"), " | ", one_decimal(file_score), " (",
              score_label(file_score), ") | ", _count("critical"), " | ", _count("warning"), " |"),
         k1=F.col("file_id"),
     )
-    foot = _piece(reviews, 9, F.lit(f"---\n{FOOTER}"))
-    return reduce(DataFrame.unionByName, [head, opening, issues, closing, table_head, rows, table_end, foot])
+    foot = _piece(9, F.lit(f"---\n{FOOTER}"))
+    return reduce(
+        DataFrame.unionByName,
+        [
+            _pieces(reviews, head, foot), _pieces(counts, opening, closing), _pieces(top, issue),
+            _pieces(with_files, table_head, table_end), _pieces(counted, row),
+        ],
+    )
 
 
 def assemble(parts: DataFrame, max_chars: int = MAX_REPORT_CHARS) -> DataFrame:
     """(review_id, text) of reviews whose report stays within ``max_chars``; the others are
     given by ``oversize_parts``."""
     fits = parts.join(_oversize(parts, max_chars), "review_id", "left_anti")
-    ordered = F.array_sort(F.collect_list(F.struct(*ORDER, "text")))
+    ordered = F.sort_array(F.collect_list(F.struct(*ORDER, "text")))
     return fits.groupBy("review_id").agg(
         F.array_join(F.transform(ordered, lambda p: p["text"]), "\n").alias("text")
     )
@@ -273,7 +286,7 @@ def review_prompts(files: DataFrame, findings: DataFrame) -> DataFrame:
     item = _say("- [", F.upper("severity"), "] Line ", _or_none("line_number"), ": ", F.col("message"))
     listed = first.groupBy("file_id").agg(
         F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("_nth", item.alias("item")))), lambda x: x["item"]), "\n"
+            F.transform(F.sort_array(F.collect_list(F.struct("_nth", item.alias("item")))), lambda x: x["item"]), "\n"
         ).alias("_items")
     )
     joined = files.where(F.coalesce("patch", F.lit("")) != "").join(listed, "file_id", "left")
@@ -304,7 +317,7 @@ def summary_prompts(reviews: DataFrame, files: DataFrame, findings: DataFrame) -
     )
     listed = counted.groupBy("review_id").agg(
         F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("_nth", item.alias("item")))), lambda x: x["item"]), "\n"
+            F.transform(F.sort_array(F.collect_list(F.struct("_nth", item.alias("item")))), lambda x: x["item"]), "\n"
         ).alias("_items")
     )
     text = _say(
