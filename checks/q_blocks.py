@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from checks import bindings as B
 from checks.bindings_sql import q, sql
 from checks.q_files import WS, text_files
-from checks.q_rules import _DEEPER, lines_sql, marked_lines
+from checks.q_rules import _DEEPER, lines_sql
 from reviewlake.operators import blocks as K
 from reviewlake.operators import metrics as M
 from reviewlake.operators import structure_rules as SR
@@ -248,10 +248,6 @@ def _(spark, sf):
     return SR.isinstance_chain_findings(B.code_files(spark, sf)).select("file_id", "line_number", "message")
 
 
-_SYMBOLS_SQL = f"""
-  python_symbols as (select file_id, 'function' as kind, name from fns union all select file_id, 'class', name from cls)"""
-
-
 @query("symbol_inventory", sql(["code_files"], rf"""{lines_cte()}, {blocks_sql('function', 'fns')}, {blocks_sql('class', 'cls')},
   {generic_sql(('rust', 'ruby', 'solidity'))},
   imports as (select file_id, regexp_extract(unnest(string_split(regexp_extract(line,

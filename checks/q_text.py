@@ -232,7 +232,6 @@ def _report_tables(spark, sf):
     return B.reviews(spark, sf), B.file_reviews(spark, sf), B.findings(spark, sf)
 
 
-_LABEL = _band_sql("score", 2)
 _REPORT_CTES = f"""
   with r as (select *, coalesce(score, 0.0) as s from reviews),
   located as (select f.*, review_id, filename from findings f join file_reviews using (file_id)),

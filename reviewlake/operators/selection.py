@@ -36,6 +36,13 @@ def valid_patterns(patterns: DataFrame) -> DataFrame:
     return patterns.where(_compiles(F.col("pattern")))
 
 
+def _java_spelling(pattern: Column) -> Column:
+    """Named groups, references to them and the end anchor as the JVM spells them."""
+    named = F.replace(pattern, F.lit("(?P<"), F.lit("(?<"))
+    referred = F.regexp_replace(named, r"\(\?P=(\w+)\)", r"\\k<$1>")
+    return F.replace(referred, F.lit(r"\Z"), F.lit(r"\z"))
+
+
 def drop_ignored(files: DataFrame, patterns: DataFrame, key: str = "project_id") -> DataFrame:
     """Drop files of which the name holds a match of any pattern of their project.
 
@@ -43,7 +50,9 @@ def drop_ignored(files: DataFrame, patterns: DataFrame, key: str = "project_id")
     the match as residual, so it stays a hash or sort-merge join whatever the table sizes, and
     neither side needs a forced broadcast.
     """
-    usable = valid_patterns(patterns).select(F.col(key).alias("_key"), "pattern")
+    usable = valid_patterns(patterns).select(
+        F.col(key).alias("_key"), _java_spelling(F.col("pattern")).alias("pattern")
+    )
     return files.join(
         usable,
         (F.col(key) == F.col("_key")) & F.rlike("filename", F.col("pattern")),

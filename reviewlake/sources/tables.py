@@ -15,21 +15,18 @@ def write_review_tables(
     """Write the three levels.
 
     Tables are partitioned by a bucket of the review, and a run replaces the buckets it touches,
-    so a re-run does not leave earlier rows behind (``append`` would). Rows are spread by bucket
-    and file before writing: a bucket with a huge review is written by many tasks.
+    so a re-run does not leave earlier rows behind (``append`` would). Before writing, rows are
+    rebalanced by bucket: adaptive execution joins small buckets into one task, and splits the
+    bucket of a huge review over many.
     """
     keyed = findings if "review_id" in findings.columns else findings.join(
         files.select("file_id", "review_id"), "file_id"
     )
     mode = "append" if append else "overwrite"
-    for name, df, spread in (
-        ("findings", keyed, ("bucket", "file_id")),
-        ("file_reviews", files, ("bucket", "file_id")),
-        ("reviews", reviews, ("bucket",)),
-    ):
+    for name, df in (("findings", keyed), ("file_reviews", files), ("reviews", reviews)):
         bucket = F.pmod(F.hash("review_id"), F.lit(buckets))
         (
-            df.withColumn("bucket", bucket).repartition(*spread)
+            df.withColumn("bucket", bucket).hint("rebalance", "bucket")
             .write.mode(mode).option("partitionOverwriteMode", "dynamic")
             .partitionBy("bucket").parquet(f"{path}/{name}")
         )

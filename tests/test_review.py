@@ -55,9 +55,11 @@ def test_size_limit_is_exclusive(spark):
 
 
 def test_ignore_patterns(spark):
-    patterns = spark.createDataFrame([(1, r"test_.*\.py"), (1, "(broken"), (2, ".*")], "project_id long, pattern string")
-    df = files(spark, {"filename": "x/test_a.py"}, {"filename": "x/main.py"}, {"filename": "y.py", "project_id": 3})
-    assert {r["filename"] for r in select_files(df, patterns).collect()} == {"x/main.py", "y.py"}
+    patterns = spark.createDataFrame([(1, r"test_.*\.py"), (1, "(broken"), (2, ".*"),
+                                     (1, r"^(?P<twice>ab)(?P=twice)\.py\Z")], "project_id long, pattern string")
+    df = files(spark, {"filename": "x/test_a.py"}, {"filename": "x/main.py"}, {"filename": "y.py", "project_id": 3},
+               {"filename": "abab.py"}, {"filename": "abcb.py"})
+    assert {r["filename"] for r in select_files(df, patterns).collect()} == {"x/main.py", "y.py", "abcb.py"}
 
 
 def test_no_files(spark):
