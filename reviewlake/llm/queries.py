@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from reviewlake.llm import bpe, packing, tokens
+from reviewlake.llm import bpe, language, licenses, packing, preference, tokens
 
 QUERIES = {
     "op1_token_counts": (tokens.op1_token_counts, None),
     "op2_bpe_round_trip": (bpe.op2_bpe_round_trip, None),
+    "op3_license_scan": (licenses.op3_license_scan, None),
+    "op4_language": (language.op4_language, None),
     "op5_packing": (packing.op5_packing, None),
+    "op7_preference_pairs": (preference.op7_preference_pairs, preference.OP7_SQL),
 }
