@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +25,7 @@ def batches_by_size(batches: Iterator[pa.RecordBatch], column: int, most: int =
     """The same rows in slices of at most ``most`` bytes of text in ``column``, or of one row."""
     for batch in batches:
         start = size = 0
-        lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
         for i, n in enumerate(lengths):
             if i > start and size + n > most:
                 yield batch.slice(start, i - start)
