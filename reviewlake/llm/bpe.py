@@ -74,7 +74,7 @@ class Vocabulary:
         key = left << 32 | right
         known = self._apart.get(key)
         if known is None:
-            if len(self._apart) > 2_000_000:
+            if len(self._apart) > 600_000:
                 self._apart.clear()
             known = self.merged(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
             self._apart[key] = known
@@ -84,7 +84,7 @@ class Vocabulary:
 class Trie:
     """Distinct words with the last token of every prefix; nodes are numbered, children in a dict by node and byte."""
 
-    def __init__(self, vocabulary: Vocabulary, most: int = 1_500_000):
+    def __init__(self, vocabulary: Vocabulary, most: int = 800_000):
         self.vocabulary, self.most = vocabulary, most
         self.clear()
 
