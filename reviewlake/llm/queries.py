@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from reviewlake.llm import bpe, language, licenses, packing, preference, tokens
+from reviewlake.llm import bpe, language, licenses, order_minhash, packing, preference, tokens
 
 QUERIES = {
     "op1_token_counts": (tokens.op1_token_counts, None),
@@ -10,5 +10,6 @@ QUERIES = {
     "op3_license_scan": (licenses.op3_license_scan, None),
     "op4_language": (language.op4_language, None),
     "op5_packing": (packing.op5_packing, None),
+    "op8_order_minhash": (order_minhash.op8_order_minhash, None),
     "op7_preference_pairs": (preference.op7_preference_pairs, preference.OP7_SQL),
 }
