@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from reviewlake.llm import bpe, language, licenses, order_minhash, packing, preference, tokens
+from reviewlake.llm import bpe, language, licenses, order_minhash, packing, passages, preference, tokens
 
 QUERIES = {
     "op1_token_counts": (tokens.op1_token_counts, None),
@@ -12,4 +12,5 @@ QUERIES = {
     "op5_packing": (packing.op5_packing, None),
     "op8_order_minhash": (order_minhash.op8_order_minhash, None),
     "op7_preference_pairs": (preference.op7_preference_pairs, preference.OP7_SQL),
+    "op10_passages": (passages.op10_passages, None),
 }
