@@ -9,6 +9,7 @@ the window on its own, without a shuffle of tokens. Only the last sequence can b
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,23 +18,30 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reviewlake.llm.common import batches_by_size, id_and_text, written
-from reviewlake.llm.pretokens import Splitter, WordCache, load
+from reviewlake.llm.pretokens import Recent, Splitter, by_library, load
 
 WINDOW = 2048
 
 
+@lru_cache(2)
+def _worker(path: str, end_id: int) -> tuple[type, Splitter, Recent]:
+    """What a Python worker keeps from task to task."""
+    tokenizer = load(path)
+    kind = np.uint16 if tokenizer.get_vocab_size() <= 65536 and end_id < 65536 else np.uint32
+    return kind, Splitter(tokenizer, False), Recent(by_library(tokenizer, lambda ids: np.array(ids, kind).tobytes()))
+
+
 def _encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """Pass one: ids of each document as unsigned 16- or 32-bit integers, and its start in the partition."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, at, tokenizer = TaskContext.get().partitionId(), 0, load(path)
-        kind = np.uint16 if tokenizer.get_vocab_size() <= 65536 and end_id < 65536 else np.uint32
-        width, split = np.dtype(kind).itemsize, Splitter(tokenizer, False)
-        cache = WordCache(tokenizer, lambda ids: np.array(ids, kind).tobytes())
+        part, at = TaskContext.get().partitionId(), 0
+        kind, split, cache = _worker(path, end_id)
+        width = np.dtype(kind).itemsize
         end = np.array([end_id], kind).tobytes()
-        for batch in batches_by_size(batches, 1):
+        for batch in batches_by_size(batches, 1, 1 << 20):
             words = [split(text) for text in batch.column(1).to_pylist()]
-            known = cache.learn(words)
+            known = cache.of(words)
             ids = [b"".join(map(known.__getitem__, ws)) + end for ws in words]
             sizes = np.array([len(x) // width for x in ids], np.int64)
             starts = at + np.cumsum(sizes) - sizes
@@ -68,7 +76,7 @@ def pack(docs: DataFrame, path: str, end_id: int, window: int = WINDOW) -> DataF
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
-        for batch in batches_by_size(batches, 4):
+        for batch in batches_by_size(batches, 4, 1 << 20):
             out: list[tuple] = []
             for doc, at, size, width, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 wide = np.frombuffer(ids, f"<u{width}").astype("<u4").tobytes()

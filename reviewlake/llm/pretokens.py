@@ -62,20 +62,36 @@ class Splitter:
         return [text[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
 
 
-class WordCache:
-    """What is kept per pre-token, encoded by the library on a miss; emptied when it is full."""
-
-    def __init__(self, tokenizer: Tokenizer, of, most: int = 400_000):
-        self.tokenizer, self.of, self.most, self.known = tokenizer, of, most, {}
-
-    def learn(self, words: list[list[str]], besides=frozenset()) -> dict:
-        known = self.known
-        missing = list({w for ws in words for w in ws if w not in known and w not in besides})
-        if len(known) + len(missing) > self.most:
-            known.clear()
-            missing = list({w for ws in words for w in ws if w not in besides})
-        for i in range(0, len(missing), 10_000):
-            part = missing[i : i + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[w] = self.of(e.ids)
-        return known
+class Recent:
+    """Values of words in two generations: what is still in use moves to the younger one, the rest goes."""
+
+    def __init__(self, make, most: int = 250_000):
+        self.make, self.most = make, most  # make: list of words → their values
+        self.young, self.old = {}, {}
+
+    def of(self, texts: list[list[str]], besides=frozenset()) -> dict:
+        """A dict with the value of every word of the texts that is not in ``besides``."""
+        words: set[str] = set()
+        for text in texts:
+            words.update(text)
+        missing = words.difference(self.young, besides)
+        if len(self.young) + len(missing) > self.most:
+            self.old, self.young = self.young, {}
+            missing = words.difference(besides)
+        young, old = self.young, self.old
+        new = []
+        for word in missing:
+            value = old.get(word)
+            if value is None:
+                new.append(word)
+            else:
+                young[word] = value
+        for i in range(0, len(new), 10_000):
+            part = new[i : i + 10_000]
+            young.update(zip(part, self.make(part), strict=True))
+        return young
+
+
+def by_library(tokenizer: Tokenizer, of):
+    """Values by the library's own encoding: ``of`` the ids of each word."""
+    return lambda words: [of(e.ids) for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]

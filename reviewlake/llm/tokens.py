@@ -13,13 +13,14 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewlake.llm.common import batches_by_size, id_and_text
-from reviewlake.llm.pretokens import Splitter, WordCache, load
+from reviewlake.llm.pretokens import Recent, Splitter, by_library, load
 
 FREQUENT = 30_000
 SAMPLE_ROWS = 3_000
@@ -52,6 +53,13 @@ def frequent_lengths(docs: DataFrame, path: str) -> dict[str, int]:
     return {w: len(e.ids) for w, e in zip(words, encoded, strict=True)}
 
 
+@lru_cache(2)
+def _worker(path: str) -> tuple[Splitter, Recent]:
+    """What a Python worker keeps from task to task."""
+    tokenizer = load(path)
+    return Splitter(tokenizer, True), Recent(by_library(tokenizer, len))
+
+
 def count_tokens(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     """Bytes and tokens of every whole text, without begin, end or added special tokens.
 
@@ -64,11 +72,10 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     frequent = spark.sparkContext.broadcast(frequent_lengths(texts, path))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = load(path)
-        first, split, cache = frequent.value, Splitter(tokenizer, True), WordCache(tokenizer, len)
+        first, (split, cache) = frequent.value, _worker(path)
         for batch in batches_by_size(batches, 1):
             words = [split(text) for text in batch.column(1).to_pylist()]
-            second = cache.learn(words, first)
+            second = cache.of(words, first)
 
             def length(word, get=first.get, second=second):
                 n = get(word)
