@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from reviewlake.llm import bpe, language, licenses, order_minhash, packing, passages, preference, tokens
+from reviewlake.llm import bpe, language, licenses, mtree, neargraph, order_minhash, packing, passages, preference, tokens
 
 QUERIES = {
     "op1_token_counts": (tokens.op1_token_counts, None),
@@ -11,6 +11,8 @@ QUERIES = {
     "op4_language": (language.op4_language, None),
     "op5_packing": (packing.op5_packing, None),
     "op8_order_minhash": (order_minhash.op8_order_minhash, None),
+    "op6_embedding_graph": (neargraph.op6_embedding_graph, neargraph.OP6_SQL),
+    "op9_exact_top_k": (mtree.op9_exact_top_k, mtree.OP9_SQL),
     "op7_preference_pairs": (preference.op7_preference_pairs, preference.OP7_SQL),
     "op10_passages": (passages.op10_passages, None),
 }
