@@ -1,10 +1,11 @@
 """BPE encoding and decoding: last tokens handed down a trie of the distinct words.
 
 For byte pair encoding, the encoding of a byte string without its last token is the encoding of the shorter string.
-So the whole encoding of a word is known from the *last token* of each of its prefixes. The distinct pre-tokens of a
-worker go into one trie; a depth-first walk gives each node its last token: of the vocabulary entries that end at the
-node, the one that the merge order leaves standing beside the last token of the node where it begins. A prefix that
-many words share is worked out once.
+So the whole encoding of a word is known from the *last token* of each of its prefixes. The distinct pre-tokens form
+a trie; a depth-first walk gives each node its last token: of the vocabulary entries that end at the node, the one that
+the merge order leaves standing beside the last token of the node where it begins. A prefix that many words share is
+worked out once. The walk meets the words in byte order, so that the trie is held as the sorted words, and of the
+states only those on the path from the root.
 
 Whether two neighbouring tokens stay apart depends on these two alone, and is kept per pair.
 """
@@ -15,13 +16,14 @@ import hashlib
 import json
 import struct
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from reviewlake.llm.common import batches_by_size, id_and_text
-from reviewlake.llm.pretokens import Splitter, load
+from reviewlake.llm.pretokens import Recent, Splitter, load
 
 
 def _bytes_of_letters() -> dict[str, int]:
@@ -48,6 +50,7 @@ class Vocabulary:
             a, b = (bytes(letters[c] for c in t) for t in (pair if isinstance(pair, list) else pair.split(" ")))
             self.rank[self.token[a], self.token[b]] = (n, self.token[a + b])
         self.longest = max(map(len, self.token))
+        self.packed = {i: struct.pack("<I", i) for i in self.bytes_of}
         self._whole: dict[int, bool] = {}
         self._apart: dict[int, bool] = {}
 
@@ -82,69 +85,32 @@ class Vocabulary:
 
 
 class Trie:
-    """Distinct words with the last token of every prefix; nodes are numbered, children in a dict by node and byte."""
-
-    def __init__(self, vocabulary: Vocabulary, most: int = 800_000):
-        self.vocabulary, self.most = vocabulary, most
-        self.clear()
-
-    def clear(self) -> None:
-        self.child: dict[int, int] = {}
-        self.last: list[int] = [-1]  # last token of a node; -1 where not worked out yet
-        self.encoded: dict[str, bytes] = {}  # ids of finished words as little-endian unsigned 32-bit integers
-
-    def add(self, words: set[str]) -> dict[str, bytes]:
-        """Inserts the words, walks the new branches depth first, and returns the encodings of all words known."""
-        if len(self.last) > self.most or len(self.encoded) > self.most // 4:
-            self.clear()
-        child, last, top = self.child, self.last, len(self.last)
-        new = [w for w in words if w not in self.encoded]
-        branches: list[bytes] = []
-        for word in new:
-            node, data = 0, word.encode()
-            for byte in data:
-                key = node << 8 | byte
-                node = child.get(key, 0)
-                if not node:
-                    node = child[key] = len(last)
-                    last.append(-1)
-            branches.append(data)
-        if len(last) > top or new:
-            # In byte order, words that share a prefix follow each other, as on a depth-first walk: of each word only
-            # the part beyond the branching point is still without last tokens.
-            for data in sorted(branches):
-                self._walk(data)
-            for word in new:
-                self.encoded[word] = self._read(word.encode())
-        return self.encoded
-
-    def _path(self, data: bytes) -> list[int]:
-        node, path, child = 0, [0], self.child
-        for byte in data:
-            node = child[node << 8 | byte]
-            path.append(node)
-        return path
-
-    def _walk(self, data: bytes) -> None:
-        path, last, v = self._path(data), self.last, self.vocabulary
-        token, longest = v.token, v.longest
-        for end in range(1, len(path)):
-            node = path[end]
-            if last[node] >= 0:
-                continue
-            for start in range(max(0, end - longest), end):
-                t = token.get(data[start:end])
-                if t is not None and v.whole(t) and (not start or v.apart(last[path[start]], t)):
-                    last[node] = t
-                    break
-
-    def _read(self, data: bytes) -> bytes:
-        path, ids, end = self._path(data), [], len(data)
-        while end:
-            token = self.last[path[end]]
-            ids.append(token)
-            end -= len(self.vocabulary.bytes_of[token])
-        return struct.pack(f"<{len(ids)}I", *reversed(ids))
+    """Encodings of words by a depth-first walk of the trie that they form."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary = vocabulary
+
+    def encoded(self, words: list[str]) -> list[bytes]:
+        """The ids of each word as little-endian unsigned 32-bit integers."""
+        v = self.vocabulary
+        token, longest, whole, apart = v.token, v.longest, v.whole, v.apart
+        found: dict[bytes, bytes] = {}
+        before, last, ids = b"", [-1], [b""]  # last tokens and encodings of all prefixes on the path
+        for data in sorted({w.encode() for w in words}):
+            shared, most = 0, min(len(before), len(data))
+            while shared < most and before[shared] == data[shared]:
+                shared += 1
+            del last[shared + 1 :], ids[shared + 1 :]
+            for end in range(shared + 1, len(data) + 1):
+                for start in range(max(0, end - longest), end):
+                    t = token.get(data[start:end])
+                    if t is not None and whole(t) and (not start or apart(last[start], t)):
+                        last.append(t)
+                        ids.append(ids[start] + v.packed[t])
+                        break
+            found[data] = ids[-1]
+            before = data
+        return [found[w.encode()] for w in words]
 
 
 class Codec:
@@ -153,7 +119,7 @@ class Codec:
     def __init__(self, path: str):
         self.vocabulary = Vocabulary(path)
         self.split = Splitter(load(path), False)
-        self.trie = Trie(self.vocabulary)
+        self.words = Recent(Trie(self.vocabulary).encoded)
         self.fixed = {s: struct.pack("<I", i) for s, i in self.vocabulary.special.items()}
         size = max(self.vocabulary.bytes_of) + 1
         self.tokens = [self.vocabulary.bytes_of.get(i, b"") for i in range(size)]
@@ -161,7 +127,7 @@ class Codec:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         words = [self.split(t) for t in texts]
-        known = self.trie.add({w for ws in words for w in ws} - self.fixed.keys())
+        known = self.words.of(words, self.fixed)
         known.update(self.fixed)
         return [b"".join(map(known.__getitem__, ws)) for ws in words]
 
@@ -175,6 +141,12 @@ class Codec:
             return data.decode(errors="replace").encode()
 
 
+@lru_cache(2)
+def codec(path: str) -> Codec:
+    """What a Python worker keeps from task to task."""
+    return Codec(path)
+
+
 def encode_texts(docs: DataFrame, path: str) -> DataFrame:
     """``doc_id``, ``ids`` (binary, little-endian unsigned 32-bit) of every whole text, special strings included.
 
@@ -183,9 +155,9 @@ def encode_texts(docs: DataFrame, path: str) -> DataFrame:
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path)
+        own = codec(path)
         for batch in batches_by_size(batches, 1):
-            ids = codec.encode(batch.column(1).to_pylist())
+            ids = own.encode(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     return id_and_text(docs).mapInArrow(encode, "doc_id long, ids binary")
@@ -195,9 +167,9 @@ def decode_ids(encoded: DataFrame, path: str) -> DataFrame:
     """``doc_id`` and ``text`` for rows of ``doc_id`` and ``ids`` as of ``encode_texts``; null ids give null text."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path)
+        own = codec(path)
         for batch in batches_by_size(batches, 1):
-            texts = [None if ids is None else codec.decode(ids).decode() for ids in batch.column(1).to_pylist()]
+            texts = [None if ids is None else own.decode(ids).decode() for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(decode, "doc_id long, text string")
@@ -210,15 +182,15 @@ def round_trip_digests(docs: DataFrame, path: str) -> DataFrame:
     """
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path)
+        own = codec(path)
         for batch in batches_by_size(batches, 1):
-            ids = codec.encode(batch.column(1).to_pylist())
+            ids = own.encode(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     pa.array([len(x) // 4 for x in ids], pa.int64()),
                     pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
-                    pa.array([hashlib.sha256(codec.decode(x)).hexdigest() for x in ids], pa.string()),
+                    pa.array([hashlib.sha256(own.decode(x)).hexdigest() for x in ids], pa.string()),
                 ],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
