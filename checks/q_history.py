@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from checks import bindings as B
@@ -12,6 +13,7 @@ from reviewlake.operators import findings as FI
 from reviewlake.operators import history as H
 from reviewlake.plans.review import ReviewOptions, review_files
 from reviewlake.rules.model import BLOCK_RULES, pattern_rules
+from reviewlake.session import materialize
 from reviewlake.sources.settings import read_settings
 
 QUERIES = {}
@@ -325,12 +327,18 @@ def _(spark, sf):
 
 
 @query("sort_findings", sql(["findings"], f"""
-  select file_id, ordinal, severity, line_number from findings order by
+  select file_id, ordinal, severity, line_number, row_number() over (order by
     case severity when 'critical' then 0 when 'warning' then 1 when 'suggestion' then 2 else 3 end,
-    coalesce(line_number, 0), file_id, ordinal limit 500"""))
-def _(spark, sf):
-    ordered = FI.sort_findings(B.findings(spark, sf), "file_id", "ordinal").limit(500)
-    return ordered.select("file_id", "ordinal", "severity", "line_number")
+    coalesce(line_number, 0), file_id, ordinal) - 1 as place from findings"""))
+def _(spark, sf):
+    """All findings in order; the place is that in the sorted, written table."""
+    ordered = FI.sort_findings(B.findings(spark, sf), "file_id", "ordinal").select("file_id", "ordinal", "severity", "line_number")
+    parts = ordered.withColumn("at", F.monotonically_increasing_id())  # part and row of the sort by range
+    stored = materialize(parts.withColumn("part", F.shiftright("at", 33)), "sorted")
+    sizes = stored.groupBy("part").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = stored.join(sizes.select("part", "first", before.alias("before")), "part")
+    return placed.select("file_id", "ordinal", "severity", "line_number", (F.col("before") + F.col("at") - F.col("first")).alias("place"))
 
 
 def _halves(spark, sf):

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks import bindings as B
+from checks import q_history as H
 from checks.bindings_sql import sql
 from checks.q_files import text_files
 from checks.q_rules import rules_named, rules_sql
+from reviewlake.plans.review import ReviewOptions
 from reviewlake.operators.scan import scan_rules
 from reviewlake.rules import catalog as C
 from reviewlake.session import run_folder
@@ -192,19 +194,24 @@ def _(spark, sf):
     return plain(found.where(closed))
 
 
-@query("record_deliveries_stream", sql(["deliveries", "projects"], _RECORDS + f"""
-  select 'webhooks' as name, count(*) as rows from records union all select 'reviews', count(*) from triaged
-  union all select 'rejected', count(*) from deliveries where not {_JSON}"""))
+_ONCE = _RECORDS.replace("from deliveries)", "from (select distinct on (delivery_id) * from deliveries))")
+
+
+@query("record_deliveries_stream", sql(["deliveries", "projects"], _ONCE + f"""
+  select 'webhooks' as name, delivery_id, event_type, payload, review_id from records
+  union all select 'reviews', null, null, pr_url, md5('review:' || delivery_id) from triaged
+  union all select 'rejected', delivery_id, event_type, 'Invalid JSON payload', null from valid where not {_JSON}"""))
 def _(spark, sf):
     folder = run_folder(spark, "recorded")
     rows = B.deliveries(spark, sf).select("delivery_id", "event_type", "body", "received_at")
-    stream = stream_of(spark, rows, "incoming")
-    runs.record_deliveries(stream, lambda: B.projects(spark, sf), folder).awaitTermination()
-    out = None
-    for name in ("webhooks", "reviews", "rejected"):
-        part = spark.read.parquet(f"{folder}/{name}").agg(F.count("*").alias("rows")).select(F.lit(name).alias("name"), "rows")
-        out = part if out is None else out.unionByName(part)
-    return out
+    stream = stream_of(spark, rows, "incoming", pieces=4)
+    runs.record_deliveries(stream, lambda: B.projects(spark, sf), folder, late="400 days").awaitTermination()
+    read = lambda name, *columns: spark.read.parquet(f"{folder}/{name}").select(F.lit(name).alias("name"), *columns)
+    none = F.lit(None).cast("string")
+    hooks = read("webhooks", "delivery_id", "event_type", "payload", "review_id")
+    reviews = read("reviews", none.alias("delivery_id"), none.alias("event_type"), F.col("pr_url").alias("payload"), "review_id")
+    bad = read("rejected", "delivery_id", "event_type", F.col("rejected").alias("payload"), none.alias("review_id"))
+    return hooks.unionByName(reviews).unionByName(bad)
 
 
 _SECRET_RULES = [s[0] for s in C.SECRETS]
@@ -219,10 +226,11 @@ def _(spark, sf):
     return runs.run_available(found.select(*columns), "scanned")
 
 
-@query("review_stream", sql(["named_files"], """
-  select language, count(*) as files from named_files where status <> 'removed' and suffix not in ('', '.css') group by 1"""))
+@query("review_stream", H.QUERIES["review_files"][1])
 def _(spark, sf):
+    """Files of one review come in several batches; the stored reviews are those of a batch run."""
     folder = run_folder(spark, "reviewed")
-    files = B.pr_files(spark, sf).drop("content_bytes")
-    runs.review_stream(stream_of(spark, files, "files"), folder).awaitTermination()
-    return spark.read.parquet(f"{folder}/file_reviews").groupBy("language").agg(F.count("*").alias("files"))
+    files = B.pr_files(spark, sf)
+    options = ReviewOptions(rules=H.COMMON)
+    runs.review_stream(stream_of(spark, files, "files", pieces=4), folder, options).awaitTermination()
+    return runs.stored_reviews(spark, folder).select("review_id", "files_analyzed", "total_findings", "critical_count", "score")

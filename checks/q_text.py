@@ -156,10 +156,10 @@ def _(spark, sf):
 
 @query("score_bar", f"""
   select o_orderkey, repeat('█', floor(s / 5)::int) || repeat('░', 20 - floor(s / 5)::int) as bar,
-    printf('%.1f', s) as shown from {_SCORES_SQL} where s >= 0""")
+    printf('%.1f', s) as shown from (select o_orderkey, greatest(0, least(100, s)) as s from {_SCORES_SQL})""")
 def _(spark, sf):
-    s = F.col("s")
-    return _scores(spark, sf).where(s >= 0).select(
+    s = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("s")))
+    return _scores(spark, sf).select(
         "o_orderkey", scores.score_bar(s).alias("bar"), scores.one_decimal(s).alias("shown")
     )
 

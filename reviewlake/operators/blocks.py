@@ -181,7 +181,7 @@ def python_imports(files: DataFrame, keep: list[str] | None = None) -> DataFrame
     keep = keep or ["file_id"]
     python = files.where((F.col("language") == "python") & F.contains("content", F.lit("import")))
     statement = (
-        rf"(?md)(?:{_TRIPLE})|^[ \t]*(?:from[ \t]+(\.*[\w.]*)[ \t]+)?import[ \t]+(\([^)]*\)|(?:\\\n|[^\n#;(])+)"
+        rf"(?md)(?:{_TRIPLE})|^[ \t]*(?:from[ \t]+(\.*[\w.]*)[ \t]+)?import[ \t]+(\([^)]*\)|(?:\\\n|[^\n#;(])++)"
     )
     rows = python.select(
         *keep,

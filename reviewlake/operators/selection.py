@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import re
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
+from pyspark.sql.types import StringType
 
+from reviewlake.functions.patterns import jvm_pattern
 from reviewlake.functions.text import is_blank
 from reviewlake.rules.catalog import CATEGORIES, MAX_FILE_KB
 
@@ -19,28 +18,20 @@ def drop_removed(files: DataFrame) -> DataFrame:
     return files.where(F.coalesce("status", F.lit("modified")) != "removed")
 
 
-@F.pandas_udf(BooleanType())
-def _compiles(patterns: pd.Series) -> pd.Series:
-    def check(pattern):
-        try:
-            re.compile(pattern)
-            return True
-        except (re.error, TypeError):
-            return False
-
-    return patterns.map(check).astype(bool)
+@F.pandas_udf(StringType())
+def _for_the_jvm(patterns: pd.Series) -> pd.Series:
+    return patterns.map(jvm_pattern).astype(object)
 
 
 def valid_patterns(patterns: DataFrame) -> DataFrame:
-    """Ignore patterns that compile; the pattern table is configuration, so it is small."""
-    return patterns.where(_compiles(F.col("pattern")))
+    """Ignore patterns that compile, as ``jvm`` also in the JVM's spelling; the pattern table is configuration, so it is small."""
+    return patterns.withColumn("jvm", _for_the_jvm("pattern")).where(F.col("jvm").isNotNull())
 
 
-def _java_spelling(pattern: Column) -> Column:
-    """Named groups, references to them and the end anchor as the JVM spells them."""
-    named = F.replace(pattern, F.lit("(?P<"), F.lit("(?<"))
-    referred = F.regexp_replace(named, r"\(\?P=(\w+)\)", r"\\k<$1>")
-    return F.replace(referred, F.lit(r"\Z"), F.lit(r"\z"))
+def rejected_patterns(patterns: DataFrame) -> DataFrame:
+    """The ignore patterns that do not compile, with the reason; files are selected without them."""
+    bad = patterns.withColumn("jvm", _for_the_jvm("pattern")).where(F.col("jvm").isNull()).drop("jvm")
+    return bad.withColumn("reason", F.when(F.col("pattern").isNull(), "no pattern").otherwise("not a regular expression"))
 
 
 def drop_ignored(files: DataFrame, patterns: DataFrame, key: str = "project_id") -> DataFrame:
@@ -51,7 +42,7 @@ def drop_ignored(files: DataFrame, patterns: DataFrame, key: str = "project_id")
     neither side needs a forced broadcast.
     """
     usable = valid_patterns(patterns).select(
-        F.col(key).alias("_key"), _java_spelling(F.col("pattern")).alias("pattern")
+        F.col(key).alias("_key"), F.col("jvm").alias("pattern")
     )
     return files.join(
         usable,

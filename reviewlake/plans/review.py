@@ -54,6 +54,7 @@ class ReviewResult:
     files: DataFrame
     findings: DataFrame
     reviews: DataFrame
+    headers: DataFrame  # the files before they are scored
 
 
 def with_text(files: DataFrame) -> DataFrame:
@@ -63,6 +64,8 @@ def with_text(files: DataFrame) -> DataFrame:
     if "patch" in columns:
         has_patch = F.coalesce(F.col("patch") != "", F.lit(False))
         content = F.when(has_patch, patch_content(F.col("patch"))).otherwise(content)
+        if "content_bytes" in columns:  # the size that counts is that of the text to analyse
+            files = files.withColumn("content_bytes", F.when(has_patch, F.octet_length(content)).otherwise(F.col("content_bytes")))
     if "content_bytes" not in columns:
         content = F.coalesce(content, F.lit(""))
     return files.withColumn("content", content)
@@ -98,12 +101,11 @@ def review_files(
 
     parts = [scan_rules(text, rules)] if rules else []
     if options.rules is None:
-        parts.append(
-            structure_findings(
-                text, solid=options.solid, brace_extents=options.brace_extents, categories=categories
-            )
+        structure = structure_findings(
+            text, solid=options.solid, brace_extents=options.brace_extents, categories=categories
         )
-    findings = union_findings(*parts)
+        parts += [structure] if structure is not None else []
+    findings = union_findings(*(parts or [scan_rules(text, pattern_rules()).where("false")]))
     if _PACKS or options.extra_rules:
         # built-in packs report a (rule, line) once; added ones may not
         extra = [pack(text) for pack in _PACKS.values()]
@@ -116,4 +118,4 @@ def review_files(
         F.when(F.col("is_oversize") & ~F.col("is_blank"), TOO_LARGE).alias("parse_error"),
     )
     scored = file_scores(headers, findings)
-    return ReviewResult(scored, findings, review_scores(scored))
+    return ReviewResult(scored, findings, review_scores(scored), headers)

@@ -95,6 +95,9 @@ AWAIT_UNGUARDED = (
     rf"(?:(?!{_LOOSE_AWAIT})(?:[^{{}}]|\{{[^{{}}]*\}}))*+{_LOOSE_AWAIT}"
 )
 
+# calls chained to a fetch up to the one that a catch follows; the repeat gives nothing back, so it needs no stack
+FETCH_UNGUARDED = r"fetch\s*\([^)]+\)(?:\s*\.then\s*\([^)]+\)(?!\s*\.catch))*+(?!\s*\.catch)"
+
 EXCEPT_PASS = (
     r"^([ \t]*)except\b[^\n]*?:(?:"
     r"[ \t]*(?:#[^\n]*)?"
@@ -155,11 +158,12 @@ def catalogue_rules() -> list[Rule]:
 
 def bug_rules() -> list[Rule]:
     nullable_call = (
-        r"\.(\w*(?:get|find|first|fetch|load)\w*)\((?:[^()\n]|\([^()\n]*\))*\)\.(\w+)"
+        r"\.(\w*(?:get|find|first|fetch|load)\w*)\([^()\n]*+(?:\([^()\n]*+\)[^()\n]*+)*+\)\.(\w+)"
         r"[ \t]*(?:[^=\s\w]|==|$)"
     )
     mutable_default = (
-        r"(\bdef[ \t]+(\w+)[ \t]*\([^()]*(?:\([^()]*\)[^()]*)*?=[ \t]*)([\[{])"
+        # stretches between brackets without such a default, then the last one of the first stretch that has one
+        r"(\bdef[ \t]+(\w+)[ \t]*\((?:(?:(?!=[ \t]*[\[{])[^()])*+\([^()]*+\))*+[^()]*=[ \t]*)([\[{])"
     )
     rules = [
         Rule("PY-BUG-AST001", "bugs", "warning", nullable_call,
@@ -263,9 +267,10 @@ def architecture_rules() -> list[Rule]:
              "Define `CONSTANT_NAME = {1}` at the module/class level.", flags="m",
              captures=(1,), guard="number", step=3),
     ]
+    spelled = {"ARCH-ERR001": AWAIT_UNGUARDED, "ARCH-ERR002": FETCH_UNGUARDED}
     for rule_id, languages, pattern, message in C.MISSING_ERROR_HANDLING:
         rules.append(
-            Rule(rule_id, "architecture", "warning", pattern or AWAIT_UNGUARDED, message,
+            Rule(rule_id, "architecture", "warning", spelled.get(rule_id, pattern), message,
                  C.MISSING_ERROR_SUGGESTION, languages, flags="ms", step=4)
         )
     tags = "|".join(C.COMMENT_TAGS)

@@ -37,12 +37,15 @@ _fallback: str | None = None
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, as the session names it.
 
-    Only where the setting is absent, as in a bare local run, a temporary folder is made.
+    A local session without the setting, as in tests, gets a temporary folder; on a cluster that would be a folder
+    of each machine, so there the setting must be there.
     """
     global _fallback
     configured = spark.conf.get(CHECKPOINT_CONF, None)
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
     if _fallback is None:
         _fallback = tempfile.mkdtemp(prefix="reviewlake-")
         spark.sparkContext.setCheckpointDir(_fallback)
