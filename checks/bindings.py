@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks.snippets import SNIPPETS
-from reviewlake.rules.catalog import MAX_FILE_KB
 
 EXTENSIONS = (".py", ".js", ".ts", ".go", ".rs", ".java", ".rb", ".sol", ".css", "")
 IGNORED = (r"mod1\d/", r"f\d*7\.", r"\.sol$")
@@ -45,14 +44,8 @@ def _sizes(lines: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _joined(lines: DataFrame, key: str, order: list[str], text: str, alias: str) -> DataFrame:
-    """Lines of one key joined in order, for keys within the size limit of a file.
-
-    A key whose text passes the limit is never put together, since such a file is not analysed:
-    sizes are summed first, and the few large keys are taken out of the lines. So no group that
-    is collected exceeds the limit, whatever the skew.
-    """
-    large = _sizes(lines, key, text).where(F.col("content_bytes") > MAX_FILE_KB * 1024).select(key)
-    return lines.join(large, key, "left_anti").groupBy(key).agg(
+    """Lines of one key joined in order: a file is one row, whatever its size."""
+    return lines.groupBy(key).agg(
         F.array_join(
             F.transform(
                 F.sort_array(F.collect_list(F.struct(*order, F.col(text).alias("_text")))),
@@ -80,8 +73,7 @@ def file_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pr_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Changed files with content: short files, a few snippets each. A file above the size limit
-    keeps its size and has no content."""
+    """Changed files with content: short files, a few snippets each."""
     lines = snippet_lines(table(spark, sf_dir, "lineitem"), 3)
     order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
     lines = lines.select("l_orderkey", *order, "l_returnflag", "code")

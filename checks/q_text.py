@@ -279,12 +279,12 @@ _RANKS = "case category when 'bugs' then 1 when 'security' then 2 when 'performa
       '- `' || severity || '` **' || filename || ':' || coalesce(line_number::varchar, 'None') || '** — ' || message
       || case when suggestion is not null then chr(10) || '  - Fix: ' || suggestion else '' end from located
     union all select review_id, 9, 0, 0, 0, 0, '---' || chr(10) || '*Generated by reviewlake*' from r)
-  select review_id, string_agg(text, chr(10) order by section, k1, k2, k3, k4, text) as text from parts group by 1"""))
+  select review_id, 0 as volume, string_agg(text, chr(10) order by section, k1, k2, k3, k4, text) as text from parts group by 1"""))
 def _(spark, sf):
     return G.assemble(G.report_parts(*_report_tables(spark, sf)))
 
 
-@query("pr_comment", sql(["reviews", "file_reviews", "findings"], f"""{_REPORT_CTES},
+_COMMENT_PARTS = f"""{_REPORT_CTES},
   top as (select *, row_number() over (partition by review_id order by file_id, ordinal) as t,
       count(*) over (partition by review_id) as n from located where severity = 'critical'),
   parts as (
@@ -305,20 +305,23 @@ def _(spark, sf):
         select file_id, count(*) filter (severity = 'critical') as critical, count(*) filter (severity = 'warning') as warning
         from findings group by 1) using (file_id)
     union all select distinct review_id, 4, 0, 0, chr(10) || '</details>' || chr(10) from f
-    union all select review_id, 9, 0, 0, '---' || chr(10) || '*Generated by reviewlake*' from r)
-  select review_id, string_agg(text, chr(10) order by section, k1, k2) as text from parts group by 1"""))
+    union all select review_id, 9, 0, 0, '---' || chr(10) || '*Generated by reviewlake*' from r)"""
+
+
+@query("pr_comment", sql(["reviews", "file_reviews", "findings"], f"""{_COMMENT_PARTS}
+  select review_id, 0 as volume, string_agg(text, chr(10) order by section, k1, k2) as text from parts group by 1"""))
 def _(spark, sf):
     return G.assemble(G.comment_parts(*_report_tables(spark, sf)))
 
 
-@query("oversize_reports", sql(["file_reviews", "findings"], """
-  select review_id from findings join file_reviews using (file_id) group by 1 having count(*) > 60"""))
+@query("oversize_reports", sql(["reviews", "file_reviews", "findings"], f"""{_COMMENT_PARTS},
+  placed as (select *, coalesce(sum(length(text) + 1) over (partition by review_id order by section, k1, k2
+    rows between unbounded preceding and 1 preceding), 0) as before from parts)
+  select review_id, (before // 1000)::int as volume, string_agg(text, chr(10) order by section, k1, k2) as text
+  from placed group by 1, 2"""))
 def _(spark, sf):
-    """Reports above a bound stay in pieces: here all with more than 60 findings (by a size bound)."""
-    reviews, files, findings = _report_tables(spark, sf)
-    located = findings.join(files.select("file_id", "review_id"), "file_id")
-    marks = located.select("review_id", *[F.lit(0).alias(c) for c in G.ORDER], F.lit("x").alias("text"))
-    return G.oversize_parts(marks, max_chars=120).select("review_id").distinct()
+    """The same reports in volumes of 1000 characters."""
+    return G.assemble(G.comment_parts(*_report_tables(spark, sf)), max_chars=1000)
 
 
 @query("default_summaries", sql(["reviews", "file_reviews", "findings"], f"""{_REPORT_CTES},
@@ -445,9 +448,10 @@ def _(spark, sf):
     return out
 
 
-@query("write_reports", sql(["reviews"], """
-  select 'review_' || repo_owner || '_' || repo_name || '_pr' || pr_number || '_' || strftime(created_at, '%Y%m%d_%H%M%S') || '.md' as name
-  from reviews where status = 'completed'"""))
+@query("write_reports", sql(["reviews", "file_reviews", "findings"], f"""{_COMMENT_PARTS}
+  select 'review_' || repo_owner || '_' || repo_name || '_pr' || pr_number || '_' || strftime(created_at, '%Y%m%d_%H%M%S') || '.md' as name,
+    0 as volume, string_agg(text, chr(10) order by section, k1, k2) as text
+  from parts join reviews using (review_id) where status = 'completed' group by 1, review_id"""))
 def _(spark, sf):
     reviews, files, findings = _report_tables(spark, sf)
     done = reviews.where("status = 'completed'")
@@ -456,4 +460,4 @@ def _(spark, sf):
     documents = G.assemble(parts).join(done.select("review_id", name.alias("name")), "review_id")
     folder = run_folder(spark, "reports")
     T.write_reports(documents, folder)
-    return spark.read.text(folder).select("name").distinct()
+    return T.read_reports(spark, folder)

@@ -1,8 +1,7 @@
 """Reports and prompt texts for many reviews at once.
 
 A report is built as a table of short pieces with an order, never as one collected group, so a
-review with any number of findings is just more rows. ``assemble`` joins the pieces of reviews
-below a size bound into one text; longer ones stay in pieces and are written in order.
+review with any number of findings is just more rows. ``assemble`` joins them, a very long report into several volumes.
 """
 
 from __future__ import annotations
@@ -239,22 +238,19 @@ def comment_parts(
 
 
 def assemble(parts: DataFrame, max_chars: int = MAX_REPORT_CHARS) -> DataFrame:
-    """(review_id, text) of reviews whose report stays within ``max_chars``; the others are
-    given by ``oversize_parts``."""
-    fits = parts.join(_oversize(parts, max_chars), "review_id", "left_anti")
-    ordered = F.sort_array(F.collect_list(F.struct(*ORDER, "text")))
-    return fits.groupBy("review_id").agg(
-        F.array_join(F.transform(ordered, lambda p: p["text"]), "\n").alias("text")
-    )
-
-
-def oversize_parts(parts: DataFrame, max_chars: int = MAX_REPORT_CHARS) -> DataFrame:
-    return parts.join(_oversize(parts, max_chars), "review_id", "left_semi")
+    """(review_id, volume, text): every report in full.
 
-
-def _oversize(parts: DataFrame, max_chars: int) -> DataFrame:
-    sizes = parts.groupBy("review_id").agg(F.sum(F.length("text") + 1).alias("_chars"))
-    return sizes.where(F.col("_chars") > max_chars).select("review_id")
+    A report is cut between pieces into volumes of about ``max_chars``, numbered from 0, so that a row stays bounded
+    whatever the report; nearly all have one. Places come from a running sum over the pieces in order, and the volumes
+    from the same partitioning.
+    """
+    ordered = Window.partitionBy("review_id").orderBy(*ORDER, "text").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.length("text") + 1).over(ordered), F.lit(0))
+    placed = parts.withColumn("volume", F.floor(before / max_chars).cast("int"))
+    pieces = F.sort_array(F.collect_list(F.struct(*ORDER, "text")))
+    return placed.groupBy("review_id", "volume").agg(
+        F.array_join(F.transform(pieces, lambda p: p["text"]), "\n").alias("text")
+    )
 
 
 def default_summaries(reviews: DataFrame, files: DataFrame, findings: DataFrame) -> DataFrame:

@@ -44,14 +44,15 @@ def report_name(owner: Column, repo: Column, number: Column, at: Column) -> Colu
     )
 
 
-def write_reports(documents: DataFrame, path: str) -> None:
-    """One folder per report name, holding its text (``name``, ``text``)."""
-    documents.select("name", "text").write.mode("overwrite").option("lineSep", "\n").partitionBy("name").text(path)
-
-
-def write_report_parts(parts: DataFrame, path: str, order: list[str]) -> None:
-    """Reports too long for one row: text files that read in order, split by range."""
+def write_reports(documents: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Reports as rows (``name``, ``volume``, ``text``) in buckets of names; a run replaces the buckets it touches."""
+    bucket = F.pmod(F.hash("name"), F.lit(buckets))
     (
-        parts.repartitionByRange("name", *order).sortWithinPartitions("name", *order)
-        .select("name", "text").write.mode("overwrite").partitionBy("name").text(path)
+        documents.select("name", "volume", "text").withColumn("bucket", bucket).hint("rebalance", "bucket")
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
     )
+
+
+def read_reports(spark: SparkSession, path: str) -> DataFrame:
+    """Stored reports; the volumes of a name in order make its text."""
+    return spark.read.parquet(path).drop("bucket")
