@@ -24,28 +24,41 @@ def line_at(lines: Column, number: Column) -> Column:
 
 
 def with_snippet(findings: DataFrame, files: DataFrame, key: str = "file_id") -> DataFrame:
-    """Look up the line text of findings. Findings meet their file once, and pick from its lines."""
-    texts = files.select(F.col(key).alias("_key"), "content")
-    return (
-        findings.join(texts, F.col(key) == F.col("_key"), "left")
-        .withColumn("code_snippet", line_at(split_lines(F.col("content")), F.col("line_number")))
-        .drop("_key", "content")
+    """Look up the line text of findings.
+
+    The wanted lines of a file are put together first, so that a text meets one row, is split once, and only the lines
+    picked from it go on.
+    """
+    wanted = findings.where(F.col("line_number") > 0).groupBy(F.col(key).alias("_key")).agg(F.collect_set("line_number").alias("_numbers"))
+    texts = files.select(F.col(key).alias("_file"), split_lines(F.col("content")).alias("_lines"))
+    picked = wanted.join(texts, F.col("_key") == F.col("_file")).select(
+        "_key",
+        F.inline(F.transform("_numbers", lambda n: F.struct(n.alias("_number"), line_at(F.col("_lines"), n).alias("code_snippet")))),
+    )
+    found = findings.drop("code_snippet").join(
+        picked, (F.col(key) == F.col("_key")) & (F.col("line_number") == F.col("_number")), "left"
     )
+    return found.withColumn("code_snippet", F.coalesce("code_snippet", F.lit(""))).drop("_key", "_number")
 
 
 def line_context(files: DataFrame, key: str = "file_id", around: int = 2) -> DataFrame:
-    """Every line with its neighbours, rendered ``%4d: text``; no shuffle, a slice per line."""
-    lines = files.select(key, split_lines(F.col("content")).alias("lines"))
-    numbered = lines.select(
-        key, "lines", F.posexplode("lines").alias("_index", "_line")
-    ).withColumn("line_number", F.col("_index") + 1)
-    first = F.greatest(F.lit(1), F.col("line_number") - around)
-    size = F.col("line_number") + around - first + 1
-    shown = F.transform(
-        F.slice("lines", first, size),
-        lambda text, i: F.concat(F.lpad((first + i).cast("string"), F.greatest(F.lit(4), F.length((first + i).cast("string"))), F.lit(" ")), F.lit(": "), text),
+    """Every line with its neighbours, rendered ``%4d: text``; no shuffle, and a line carries its own context only."""
+    lines = F.col("_lines")
+
+    def context(_, i):
+        first = F.greatest(F.lit(1), i + 1 - around)
+        shown = F.transform(
+            F.slice(lines, first, i + 1 + around - first + 1),
+            lambda text, j: F.concat(
+                F.lpad((first + j).cast("string"), F.greatest(F.lit(4), F.length((first + j).cast("string"))), F.lit(" ")), F.lit(": "), text
+            ),
+        )
+        return F.array_join(shown, "\n")
+
+    split = files.select(key, split_lines(F.col("content")).alias("_lines"))
+    return split.select(key, F.posexplode(F.transform(lines, context)).alias("_index", "context")).select(
+        key, (F.col("_index") + 1).alias("line_number"), "context"
     )
-    return numbered.select(key, "line_number", F.array_join(shown, "\n").alias("context"))
 
 
 def long_lines(files: DataFrame, key: str = "file_id", limit: int = C.MAX_LINE_LENGTH) -> DataFrame:
@@ -89,14 +102,14 @@ def duplicate_blocks(
     """
     # inside the generator, since a filter would be pushed down and repeat the whole folding
     repeated = F.size(F.array_distinct("windows")) < F.size("windows")
-    rows = _blocks(files, key, size).select(
-        key, "filled", F.posexplode(F.when(repeated, F.col("windows"))).alias("_index", "_window")
-    )
-    narrow = rows.select(
-        key, (F.col("_index") + 1).alias("position"), "_window",
-        F.hash(F.slice("filled", F.col("_index") + 1, size)).alias("_check"),
-        F.element_at("filled", F.col("_index") + 1).alias("code_snippet"),
+    rows = F.transform(
+        F.when(repeated, F.col("windows")),
+        lambda window, i: F.struct(
+            (i + 1).alias("position"), window.alias("_window"), F.hash(F.slice("filled", i + 1, size)).alias("_check"),
+            F.element_at("filled", i + 1).alias("code_snippet"),
+        ),
     )
+    narrow = _blocks(files, key, size).select(key, F.inline(rows))
     from pyspark.sql import Window
 
     order = Window.partitionBy(key, "_window", "_check").orderBy("position")

@@ -150,13 +150,17 @@ def scan_rules(
         F.transform(
             F.split("marked", "\n", -1),
             lambda line, i: F.when(
-                F.contains(line, F.lit(MARK)), F.struct((i + 1).alias("line_number"), line.alias("marked_line"))
+                F.contains(line, F.lit(MARK)),
+                F.struct(
+                    (i + 1).alias("line_number"), line.alias("marked_line"),
+                    F.element_at("source_lines", i + 1).alias("source_line"),
+                ),
             ),
         )
     )
     has_mark = F.contains("marked", F.lit(MARK))
     lines = marked.select(
-        *keep, "language", "rule_no", "rule", "source_lines", F.inline(F.when(has_mark, picked))
+        *keep, "language", "rule_no", "rule", F.inline(F.when(has_mark, picked))
     )
 
     first = F.substring_index(F.substring_index("marked_line", MARK, 2), MARK, -1)
@@ -167,7 +171,7 @@ def scan_rules(
         "line_number",
         F.element_at(captured, 1).alias("first_capture"),
         F.coalesce(F.try_element_at(captured, F.lit(2)), F.lit("")).alias("second_capture"),
-        F.coalesce(F.element_at("source_lines", F.col("line_number")), unmarked).alias("line"),
+        F.coalesce("source_line", unmarked).alias("line"),
     )
     kept = located.withColumn("stripped", X.strip(F.col("line"))).where(_passes_guard())
     return kept.select(*keep, *_finding_columns())
