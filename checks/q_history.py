@@ -341,6 +341,16 @@ def _(spark, sf):
     return placed.select("file_id", "ordinal", "severity", "line_number", (F.col("before") + F.col("at") - F.col("first")).alias("place"))
 
 
+@query("newest_projects", sql(["projects", "reviews"], """
+  select project_id, owner, repo, min(created_at) as created_at from projects join reviews using (project_id)
+  group by 1, 2, 3 order by created_at desc, project_id desc limit 10"""))
+def _(spark, sf):
+    """The ten newest projects, each as old as its first review."""
+    since = B.reviews(spark, sf).groupBy("project_id").agg(F.min("created_at").alias("created_at"))
+    projects = B.projects(spark, sf).join(since, "project_id").select("project_id", "owner", "repo", "created_at")
+    return H.newest_projects(projects, 10)
+
+
 def _halves(spark, sf):
     named = B.findings(spark, sf).join(B.file_reviews(spark, sf).select("file_id", "filename", "review_id"), "file_id")
     by_name = named.withColumn("filename", F.concat(F.lit("m"), (F.col("file_id") % 199).cast("string")))

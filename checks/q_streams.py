@@ -194,6 +194,19 @@ def _(spark, sf):
     return plain(found.where(closed))
 
 
+@query("read_deliveries", sql(["deliveries"], f"""
+  select delivery_id, event_type, body, received_at, case when not {_JSON} then 'Invalid JSON payload' end as rejected from deliveries"""))
+def _(spark, sf):
+    """Deliveries from JSON lines with bodies in base64, read as a stream, with the reason for those put aside."""
+    folder = run_folder(spark, "json")
+    rows = B.deliveries(spark, sf).select(
+        "delivery_id", "event_type", F.lit("").alias("signature"), F.col("body").cast("binary").alias("body"), "received_at"
+    )
+    rows.repartition(3).write.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(folder)
+    read = runs.run_available(E.check_deliveries(E.stream_deliveries(spark, folder)), "read")
+    return plain(read.select("delivery_id", "event_type", F.col("body").cast("string").alias("body"), "received_at", "rejected"))
+
+
 _ONCE = _RECORDS.replace("from deliveries)", "from (select distinct on (delivery_id) * from deliveries))")
 
 

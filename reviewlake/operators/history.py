@@ -55,6 +55,12 @@ def page_counts(reviews: DataFrame, size: int = 20) -> DataFrame:
     )
 
 
+def newest_projects(projects: DataFrame, n: int | None = None) -> DataFrame:
+    """Projects by time of registration, the newest first; all of them, or the first ``n``."""
+    ordered = projects.orderBy(F.desc("created_at"), F.desc("project_id"))
+    return ordered if n is None else ordered.limit(n)
+
+
 def recent(reviews: DataFrame, n: int = 10) -> DataFrame:
     return newest_first(reviews).limit(n)
 
