@@ -30,3 +30,15 @@ def components(edges: DataFrame) -> DataFrame:
         if labels.where("label <> old").isEmpty():
             return labels.select("node", "label")
         labels = labels.select("node", "label")
+
+
+def joined_components(classes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``classes`` (``node, label``, as ``components`` gives them) after further ``edges``; only their labels are worked on."""
+    ends = [classes.select(F.col("node").alias(x), F.col("label").alias(f"l{x}")) for x in ("a", "b")]
+    named = edges.select("a", "b").join(ends[0], "a", "left").join(ends[1], "b", "left")
+    named = named.select("a", "b", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb"))
+    moved = components(named.select(F.col("la").alias("a"), F.col("lb").alias("b")))
+    new = named.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes, "node", "left_anti")
+    every = classes.union(new.select("node", F.col("node").alias("label")))
+    to = moved.select(F.col("node").alias("label"), F.col("label").alias("to"))
+    return written(every.join(to, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "classes")
