@@ -116,41 +116,65 @@ class Tree:
         self.squares = [(v * v).sum(1) for v in self.vectors]
         self.computed = 0
 
-    def search(self, query: int, q: np.ndarray, k: int, bar: float = -math.inf) -> list[tuple[int, int]]:
-        """The ``k`` best (score, id), none below ``bar``; ties to smaller ids, without ``query`` itself."""
-        qq = float(q @ q)
-        ids, scores = np.empty(0, np.int64), np.empty(0)
-        d = float(np.sqrt(((q - self.router[0]) ** 2).sum()))
-        heap = [(-math.inf, 0, d)]
+    def search(self, ids: np.ndarray, q: np.ndarray, k: int, bars: np.ndarray | None = None) -> list[list[tuple[int, int]]]:
+        """For each query the ``k`` best (score, id), none below its bar; ties to smaller ids, without the query's own id.
+
+        A block of queries goes through the tree together: the page opened next is the one with the best bound of any
+        query, and it is opened for those queries alone whose bound there reaches what they have found so far.
+        """
+        n = len(ids)
+        qq = (q * q).sum(1)
+        length = np.sqrt(qq)
+        bar = np.full(n, -math.inf) if bars is None else bars.astype(float)
+        top = np.full((n, k), -math.inf)
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        every = np.arange(n)
+        heap = [(-math.inf, 0, every, np.full(n, math.inf), np.sqrt(((q - self.router[0]) ** 2).sum(1)))]
         while heap:
-            bound, page, d = heapq.heappop(heap)
-            if -bound < bar - 0.5:
-                break
-            if self.leaf[page]:
-                gap = np.abs(d - self.gaps[page])
-                some = np.flatnonzero(((qq + self.squares[page] - gap * gap) / 2 >= bar - 0.5) & (self.ids[page] != query))
-                self.computed += len(some)
-                ids = np.concatenate([ids, self.ids[page][some]])
-                scores = np.concatenate([scores, self.vectors[page][some] @ q])
-                best = np.lexsort((ids, -scores))[:k]
-                ids, scores = ids[best], scores[best]
-                if len(ids) == k:
-                    bar = max(bar, float(scores[-1]))
+            _, page, rows, bound, d = heapq.heappop(heap)
+            live = bound >= bar[rows] - 0.5
+            rows, d = rows[live], d[live]
+            if not len(rows):
                 continue
-            own = self.children[page]
-            far = np.maximum(np.abs(d - self.up[own]) - self.radius[own], 0)
-            own = own[(qq + self.norm[own] ** 2 - far * far) / 2 >= bar - 0.5]
-            if not len(own):
+            if self.leaf[page]:
+                gap = np.abs(d[:, None] - self.gaps[page])
+                wanted = (qq[rows][:, None] + self.squares[page] - gap * gap) / 2 >= bar[rows][:, None] - 0.5
+                wanted &= self.ids[page] != ids[rows][:, None]
+                some = np.flatnonzero(wanted.any(axis=1))
+                members = np.flatnonzero(wanted.any(axis=0))
+                if not len(some):
+                    continue
+                rows, wanted = rows[some], wanted[np.ix_(some, members)]
+                self.computed += wanted.size
+                scores = np.where(wanted, q[rows] @ self.vectors[page][members].T, -math.inf)
+                hit = (scores >= bar[rows][:, None] - 0.5) & wanted
+                i, j = np.nonzero(hit)
+                found.append((rows[i], scores[i, j], self.ids[page][members[j]]))
+                both = np.concatenate([top[rows], scores], axis=1)
+                top[rows] = np.partition(both, both.shape[1] - k, axis=1)[:, both.shape[1] - k :]
+                bar[rows] = np.maximum(bar[rows], top[rows].min(axis=1))
                 continue
-            self.computed += len(own)
-            apart = np.sqrt(((self.router[own] - q) ** 2).sum(1))
-            far = np.maximum(apart - self.radius[own], 0)
-            most = np.minimum((qq + self.norm[own] ** 2 - far * far) / 2, self.router[own] @ q + math.sqrt(qq) * self.radius[own])
-            for b, p, x in zip(most.tolist(), own.tolist(), apart.tolist(), strict=True):
-                if b >= bar - 0.5:
-                    heapq.heappush(heap, (-b, p, x))
-        keep = scores >= bar - 0.5 if bar > -math.inf else slice(None)
-        return [(round(s), int(i)) for s, i in zip(scores[keep].tolist(), ids[keep].tolist(), strict=True)]
+            for child in self.children[page].tolist():
+                far = np.maximum(np.abs(d - self.up[child]) - self.radius[child], 0)
+                near = np.flatnonzero((qq[rows] + self.norm[child] ** 2 - far * far) / 2 >= bar[rows] - 0.5)
+                if not len(near):
+                    continue
+                own = rows[near]
+                self.computed += len(own)
+                apart = np.sqrt(((q[own] - self.router[child]) ** 2).sum(1))
+                far = np.maximum(apart - self.radius[child], 0)
+                most = np.minimum((qq[own] + self.norm[child] ** 2 - far * far) / 2, q[own] @ self.router[child] + length[own] * self.radius[child])
+                heapq.heappush(heap, (-float(most.max()), child, own, most, apart))
+        out: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+        if found:
+            row, score, other = (np.concatenate(c) for c in zip(*found, strict=True))
+            good = score >= bar[row] - 0.5
+            row, score, other = row[good], score[good], other[good]
+            order = np.lexsort((other, -score, row))
+            for r, s, o in zip(row[order].tolist(), score[order].tolist(), other[order].tolist(), strict=True):
+                if len(out[r]) < k:
+                    out[r].append((round(s), int(o)))
+        return out
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
@@ -205,9 +229,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     def search(key, own: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
         rows = []
         if len(own) and len(ask):
-            tree = Tree(own)
-            for i, q, bar in zip(ask["query_id"], ask["q"], ask["bar"], strict=True):
-                found = tree.search(int(i), np.asarray(q, float), k, -math.inf if math.isnan(bar) else bar)
+            asked = ask["query_id"].to_numpy(np.int64)
+            bars = ask["bar"].fillna(-math.inf).to_numpy(float)
+            for i, found in zip(asked.tolist(), Tree(own).search(asked, _matrix(ask["q"]), k, bars), strict=True):
                 rows += [(i, v, s) for s, v in found]
         return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"])
 
