@@ -105,11 +105,15 @@ def test_tree_passes_over_far_pages():
     rng = np.random.default_rng(4)
     x = np.floor(np.concatenate([rng.normal(size=(300, 6)) * 5 + c for c in rng.normal(size=(12, 6)) * 300]))
     tree = mtree.Tree(mtree.build_pages(0, np.arange(len(x)), x))
-    best = tree.search(0, x[0], 10)
+    best = tree.search(np.array([0]), x[:1], 10)[0]
     s = x @ x[0]
     order = [i for i in np.lexsort((np.arange(len(x)), -s)) if i != 0][:10]
     assert [i for _, i in best] == [int(i) for i in order]
     assert tree.computed < len(x) / 2
+    for i, found in enumerate(tree.search(np.arange(40), x[:40], 10)):
+        s = x @ x[i]
+        order = [j for j in np.lexsort((np.arange(len(x)), -s)) if j != i][:10]
+        assert found == [(int(s[j]), int(j)) for j in order]
 
 
 def test_components(spark):
