@@ -37,7 +37,7 @@ HASHES = 3
 ENOUGH = 2
 BESIDE = 12
 SIMILARITY = 0.8
-_BLOCK = 32
+_BLOCK = 64  # the first and the last window of each block are verified; windows stand at most LEAST apart
 _AROUND = WORDS - 2
 _GAP = 4
 _ODD = (np.random.default_rng(9).integers(0, 2**63, HASHES, np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -112,6 +112,10 @@ def compact_windows(texts: list[np.ndarray]) -> list[np.ndarray]:
             for c, x in zip(columns, (key.view(np.int64), owner[at[some]], (at - begin[at])[some], reach[0][some], reach[1][some], np.full(len(some), h)), strict=True):
                 c.append(x)
     out = [np.concatenate(c) for c in columns]
+    # where words repeat over and over, one of the equal windows of each block is enough
+    own = mixed(out[0].view(np.uint64) + mixed((out[1] << 32 | out[2] // _BLOCK).astype(np.uint64)))
+    first = np.sort(np.unique(own, return_index=True)[1])
+    out = [c[first] for c in out]
     out[1] = np.array(long)[out[1]]
     return out
 
@@ -213,7 +217,8 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     beside = Window.partitionBy("a", "b").orderBy("block").rangeBetween(-1, 1)
     agreed = edges.repartition("a", "b").withColumn("hashes", F.bit_or(F.expr("shiftleft(1, hash)")).over(beside))
     anchors = written(
-        agreed.where(F.bit_count("hashes") >= ENOUGH).groupBy("a", "b", (F.col("ca") - F.col("cb")).alias("shift"), "block").agg(F.min("cb").alias("cb"))
+        agreed.where(F.bit_count("hashes") >= ENOUGH).groupBy("a", "b", (F.col("ca") - F.col("cb")).alias("shift"), "block")
+        .agg(F.array_distinct(F.array(F.min("cb"), F.max("cb"))).alias("ends")).select("a", "b", "shift", F.explode("ends").alias("cb"))
         .select("a", (F.col("cb") + F.col("shift")).alias("ca"), "b", "cb"),
         "passage-anchors",
     )
@@ -222,14 +227,19 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     texts = own.join(places, own["doc_id"] == places["doc"])
     slices = written(_slices(texts).dropDuplicates(["doc", "at"]), "passage-slices")
 
-    @F.pandas_udf("start int, stop int")
+    @F.pandas_udf("start int, stop int, same boolean")
     def verify(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         for parts_of in parts:
             out = []
             for wa, ba, ca, wb, bb, cb in zip(*parts_of, strict=True):
+                low, high = min(ca - ba, cb - bb), min(len(wa) // 2 - ca + ba, len(wb) // 2 - cb + bb)
+                ia, ib = ca - ba - low, cb - bb - low
+                if low + high >= WORDS and wa[2 * ia : 2 * (ia + low + high)] == wb[2 * ib : 2 * (ib + low + high)]:
+                    out.append((bb + ib, bb + ib + low + high, 2 * (low + high) == len(wb)))
+                    continue
                 span = aligned(np.frombuffer(wa, "<u2"), ca - ba, np.frombuffer(wb, "<u2"), cb - bb)
-                out.append((span[0] + bb, span[1] + bb) if span else (-1, -1))
-            yield pd.DataFrame(out, columns=["start", "stop"])
+                out.append((span[0] + bb, span[1] + bb, False) if span else (-1, -1, False))
+            yield pd.DataFrame(out, columns=["start", "stop", "same"])
 
     of_a = slices.select(F.col("doc").alias("a"), F.col("at").alias("ca"), F.col("begin").alias("ba"), F.col("words").alias("wa"))
     of_b = slices.select(F.col("doc").alias("b"), F.col("at").alias("cb"), F.col("begin").alias("bb"), F.col("words").alias("wb"))
@@ -241,7 +251,9 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     spans = checked.where("start >= 0").select(F.col("b").alias("doc"), "start", "stop", F.col("a").alias("source"))
     failed = checked.where("start < 0").select("a", "ca").distinct()
     if not failed.isEmpty():
-        spans = spans.union(_by_runs(checked.join(failed, ["a", "ca"], "left_semi"), slices))
+        # members all of whose words stand in the first one too share nothing that it does not
+        others = checked.where(~F.col("same")).join(failed, ["a", "ca"], "left_semi")
+        spans = spans.union(_by_runs(others, slices))
 
     # stretches that touch become one
     row = Window.partitionBy("doc").orderBy("start", "stop")
