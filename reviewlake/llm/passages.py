@@ -7,11 +7,16 @@
   (up to ``LEAST``; longer passages have further windows).
 * Windows are grouped by the min-hash and the words beside it, to the left or to the right; of any passage that two
   texts share word by word, one of the two sides lies inside. Short common lines do not get that far. Each member of a
-  group is paired with the first one if their stretches have ``LEAST`` shingles in common.
-* Pairs of texts on which ``ENOUGH`` hash functions agree nearby are verified: the words around the window are aligned
-  with gaps allowed, and the aligned part counts if it has ``WORDS`` words or more and its shingles a Jaccard similarity of
-  0.8 or more. Where a pair fails, all members of its window are grouped by each run of ``WORDS`` words around it, so that
-  word-by-word repeats are found also if the first member of the group is not among them.
+  group is paired with the first one, whatever the two stretches have in common.
+* Places at which ``ENOUGH`` hash functions agree nearby, with whatever texts, are verified: the words around the window
+  are aligned with gaps allowed, and the aligned part counts if it has ``WORDS`` words or more and its shingles a Jaccard
+  similarity of 0.8 or more. Where a pair fails, all members of its window are grouped by each run of ``WORDS`` words around
+  it, so that word-by-word repeats are found also if the first member of the group is not among them.
+* The first member may hold only a frequent notice, or a variant of the passage below 0.8. So all members that differ
+  from it around the window are grouped anew by runs of ``RUN`` words, of which any near copy shares one. Groups of up to
+  ``SMALL`` places are compared in full; in larger ones each place is compared with the first, and the group is parted by
+  each shingle that the first one lacks, until no group is left: texts that are near copies of each other and not of the
+  first share such a shingle.
 
 A group holds at most a few rows for each document, and is read once in order; nothing is collected for it.
 """
@@ -37,6 +42,8 @@ HASHES = 3
 ENOUGH = 2
 BESIDE = 12
 SIMILARITY = 0.8
+RUN = 13  # the least of 13 such runs is taken: one of any 25 equal words, which 50 words with a Jaccard of 0.8 have
+SMALL = 8
 _BLOCK = 64  # the first and the last window of each block are verified; windows stand at most LEAST apart
 _AROUND = WORDS - 2
 _GAP = 4
@@ -198,6 +205,26 @@ def aligned(a: np.ndarray, ia: int, b: np.ndarray, ib: int) -> tuple[int, int] |
     return None
 
 
+def _verify():
+    """The repeated stretch of the second slice, and whether all of it stands in the first one."""
+
+    @F.pandas_udf("start int, stop int, same boolean")
+    def verify(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        for parts_of in parts:
+            out = []
+            for wa, ba, ca, wb, bb, cb in zip(*parts_of, strict=True):
+                low, high = min(ca - ba, cb - bb), min(len(wa) // 2 - ca + ba, len(wb) // 2 - cb + bb)
+                ia, ib = ca - ba - low, cb - bb - low
+                if low + high >= WORDS and wa[2 * ia : 2 * (ia + low + high)] == wb[2 * ib : 2 * (ib + low + high)]:
+                    out.append((bb + ib, bb + ib + low + high, 2 * (low + high) == len(wb)))
+                    continue
+                span = aligned(np.frombuffer(wa, "<u2"), ca - ba, np.frombuffer(wb, "<u2"), cb - bb)
+                out.append((span[0] + bb, span[1] + bb, False) if span else (-1, -1, False))
+            yield pd.DataFrame(out, columns=["start", "stop", "same"])
+
+    return verify
+
+
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """``doc_id, start_word, end_word, source_id``: the stretches of each text that repeat an earlier document.
 
@@ -208,14 +235,16 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     own = own.where("doc_id IS NOT NULL AND text IS NOT NULL")
     group = Window.partitionBy("key")
-    lead = F.min(F.struct("doc", "at", "left", "right")).over(group)
-    common = F.least("left", "lead.left") + F.least("right", "lead.right") + 1
-    edges = _windows(own).withColumn("lead", lead).where(F.col("lead.doc") != F.col("doc")).where(common >= LEAST).select(
+    first = F.min(F.struct("doc", "at")).over(group)
+    # of the first text itself further places only: they are not compared with it, but with what comes later
+    edges = _windows(own).withColumn("lead", first).withColumn("last", F.max("doc").over(group)).where(
+        (F.col("lead.doc") != F.col("last")) & ((F.col("lead.doc") != F.col("doc")) | (F.col("lead.at") != F.col("at")))
+    ).select(
         F.col("lead.doc").alias("a"), F.col("lead.at").alias("ca"), F.col("doc").alias("b"), F.col("at").alias("cb"),
         F.floor(F.col("at") / _BLOCK).alias("block"), "hash",
     )
-    beside = Window.partitionBy("a", "b").orderBy("block").rangeBetween(-1, 1)
-    agreed = edges.repartition("a", "b").withColumn("hashes", F.bit_or(F.expr("shiftleft(1, hash)")).over(beside))
+    beside = Window.partitionBy("b").orderBy("block").rangeBetween(-1, 1)
+    agreed = edges.withColumn("hashes", F.bit_or(F.expr("shiftleft(1, hash)")).over(beside))
     anchors = written(
         agreed.where(F.bit_count("hashes") >= ENOUGH).groupBy("a", "b", (F.col("ca") - F.col("cb")).alias("shift"), "block")
         .agg(F.array_distinct(F.array(F.min("cb"), F.max("cb"))).alias("ends")).select("a", "b", "shift", F.explode("ends").alias("cb"))
@@ -227,25 +256,11 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     texts = own.join(places, own["doc_id"] == places["doc"])
     slices = written(_slices(texts).dropDuplicates(["doc", "at"]), "passage-slices")
 
-    @F.pandas_udf("start int, stop int, same boolean")
-    def verify(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
-        for parts_of in parts:
-            out = []
-            for wa, ba, ca, wb, bb, cb in zip(*parts_of, strict=True):
-                low, high = min(ca - ba, cb - bb), min(len(wa) // 2 - ca + ba, len(wb) // 2 - cb + bb)
-                ia, ib = ca - ba - low, cb - bb - low
-                if low + high >= WORDS and wa[2 * ia : 2 * (ia + low + high)] == wb[2 * ib : 2 * (ib + low + high)]:
-                    out.append((bb + ib, bb + ib + low + high, 2 * (low + high) == len(wb)))
-                    continue
-                span = aligned(np.frombuffer(wa, "<u2"), ca - ba, np.frombuffer(wb, "<u2"), cb - bb)
-                out.append((span[0] + bb, span[1] + bb, False) if span else (-1, -1, False))
-            yield pd.DataFrame(out, columns=["start", "stop", "same"])
-
     of_a = slices.select(F.col("doc").alias("a"), F.col("at").alias("ca"), F.col("begin").alias("ba"), F.col("words").alias("wa"))
     of_b = slices.select(F.col("doc").alias("b"), F.col("at").alias("cb"), F.col("begin").alias("bb"), F.col("words").alias("wb"))
-    both = anchors.join(of_a, ["a", "ca"]).join(of_b, ["b", "cb"])
+    both = anchors.where("a <> b").join(of_a, ["a", "ca"]).join(of_b, ["b", "cb"])
     checked = written(
-        both.select("a", "ca", "b", "cb", verify("wa", "ba", "ca", "wb", "bb", "cb").alias("span")).select("a", "ca", "b", "cb", "span.*"),
+        both.select("a", "ca", "b", "cb", _verify()("wa", "ba", "ca", "wb", "bb", "cb").alias("span")).select("a", "ca", "b", "cb", "span.*"),
         "passage-spans",
     )
     spans = checked.where("start >= 0").select(F.col("b").alias("doc"), "start", "stop", F.col("a").alias("source"))
@@ -254,6 +269,9 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
         # members all of whose words stand in the first one too share nothing that it does not
         others = checked.where(~F.col("same")).join(failed, ["a", "ca"], "left_semi")
         spans = spans.union(_by_runs(others, slices))
+    own_places = anchors.where("a = b").select(F.col("b").alias("doc"), F.col("cb").alias("at"), F.lit(False).alias("open"))
+    for found in _among(checked.where(~F.col("same")).select(F.col("b").alias("doc"), F.col("cb").alias("at"), (F.col("start") < 0).alias("open")).union(own_places), slices):
+        spans = spans.union(found)
 
     # stretches that touch become one
     row = Window.partitionBy("doc").orderBy("start", "stop")
@@ -288,6 +306,104 @@ def _by_runs(members: DataFrame, slices: DataFrame) -> DataFrame:
     )
 
 
+def _hashed(words: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of all runs of ``length`` words."""
+    n = max(0, len(words) - length + 1)
+    out = np.zeros(n, np.uint64)
+    for j in range(length):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + words[j : j + n]
+    return mixed(out)
+
+
+def chosen_runs(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and places of the runs of ``RUN`` words that are the least of ``RUN`` runs in a row."""
+    hashes = _hashed(words, RUN)
+    if not len(hashes):
+        return hashes, np.empty(0, np.int64)
+    rows = np.lib.stride_tricks.sliding_window_view(hashes, min(RUN, len(hashes)))
+    places = np.unique(rows.argmin(axis=1) + np.arange(len(rows)))
+    return hashes[places], places
+
+
+def _among(members: DataFrame, slices: DataFrame) -> Iterator[DataFrame]:
+    """Near copies among the members (``doc, at, open``), round by round: ``doc, start, stop, source`` of the open ones."""
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, row, place = [], [], []
+            for i, (begin, words) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                hashes, places = chosen_runs(np.frombuffer(words, "<u2"))
+                key.append(hashes)
+                place.append(places + begin)
+                row.append(np.full(len(hashes), i))
+            if row:
+                of = pa.array(np.concatenate(row))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(key).view(np.int64)), batch.column(0).take(of), batch.column(1).take(of),
+                     pa.array(np.concatenate(place).astype(np.int32)), batch.column(4).take(of)],
+                    ["key", "doc", "at", "place", "open"],
+                )
+
+    @F.pandas_udf("array<struct<shingle: long, place: int>>")
+    def lacking(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for first, other, begins in parts:
+            out = []
+            for a, b, begin in zip(first, other, begins, strict=True):
+                own, at = np.unique(_hashed(np.frombuffer(b, "<u2"), K), return_index=True)
+                new = ~np.isin(own, _hashed(np.frombuffer(a, "<u2"), K))
+                out.append([{"shingle": s, "place": p} for s, p in zip(own[new].view(np.int64).tolist(), (at[new] + begin).tolist(), strict=True)])
+            yield pd.Series(out, dtype=object)
+
+    asked = members.groupBy("doc", "at").agg(F.max("open").alias("open"))
+    around = slices.join(asked, ["doc", "at"]).select("doc", "at", "begin", "words", "open")
+    rows = around.mapInArrow(keys, "key long, doc long, at int, place int, open boolean")
+    # of a run that several slices of a text hold, the slice that has it most in the middle
+    rows = rows.groupBy("key", "doc", "place").agg(F.min_by("at", F.abs(F.col("at") - F.col("place"))).alias("at"), F.max("open").alias("open"))
+    first = slices.select(F.col("doc").alias("a"), F.col("at").alias("aa"), F.col("begin").alias("ba"), F.col("words").alias("wa"))
+    second = slices.select(F.col("doc").alias("b"), F.col("at").alias("ab"), F.col("begin").alias("bb"), F.col("words").alias("wb"))
+    tried = None
+    while True:
+        whole = Window.partitionBy("key")
+        groups = written(
+            rows.withColumn("lead", F.min(F.struct("doc", "at", "place")).over(whole)).withColumn("last", F.max("doc").over(whole))
+            .withColumn("size", F.count("*").over(whole)).withColumn("any", F.max("open").over(whole))
+            .where((F.col("lead.doc") != F.col("last")) & F.col("any")).drop("any", "last"),
+            "passage-groups",
+        )
+        if groups.isEmpty():
+            return
+        few, many = groups.where(F.col("size") <= SMALL), groups.where(F.col("size") > SMALL)
+        x = few.select("key", F.col("doc").alias("a"), F.col("at").alias("aa"), F.col("place").alias("ca"))
+        y = few.select("key", F.col("doc").alias("b"), F.col("at").alias("ab"), F.col("place").alias("cb"), "open")
+        star = many.select(
+            F.col("lead.doc").alias("a"), F.col("lead.at").alias("aa"), F.col("lead.place").alias("ca"),
+            F.col("doc").alias("b"), F.col("at").alias("ab"), F.col("place").alias("cb"), "open",
+        )
+        pairs = x.join(y, "key").select(*star.columns).union(star).where("open AND a < b")
+        # runs of one stretch, at one shift, are one pair
+        pairs = pairs.groupBy("a", "b", (F.col("ca") - F.col("cb")).alias("shift"), F.floor(F.col("cb") / _BLOCK).alias("block")).agg(
+            F.min(F.struct("cb", "aa", "ab", "ca")).alias("p")
+        ).select("a", "b", "p.*")
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b", "ca", "cb", "aa", "ab"], "left_anti")
+        checked = written(
+            pairs.join(first, ["a", "aa"]).join(second, ["b", "ab"]).select(
+                "a", "b", "ca", "cb", "aa", "ab", _verify()("wa", "ba", "ca", "wb", "bb", "cb").alias("span")
+            ).select("a", "b", "ca", "cb", "aa", "ab", "span.start", "span.stop"),
+            "passage-among",
+        )
+        done = checked.select("a", "b", "ca", "cb", "aa", "ab")
+        tried = done if tried is None else tried.union(done)
+        yield checked.where("start >= 0").select(F.col("b").alias("doc"), "start", "stop", F.col("a").alias("source"))
+        # a slice with a verified stretch is done, and serves the others only
+        linked = checked.where("start >= 0").select("b", "ab").distinct().withColumn("done", F.lit(True))
+        parted = many.groupBy(F.col("lead.doc").alias("a"), F.col("lead.at").alias("aa"), F.col("doc").alias("b"), F.col("at").alias("ab")).agg(F.max("open").alias("open"))
+        parted = parted.join(linked, ["b", "ab"], "left").withColumn("open", F.col("open") & F.col("done").isNull())
+        rows = parted.join(first, ["a", "aa"]).join(second, ["b", "ab"]).select(
+            "a", "aa", F.explode(lacking("wa", "wb", "bb")).alias("new"), F.col("b").alias("doc"), F.col("ab").alias("at"), "open"
+        ).select(F.xxhash64("a", "aa", "new.shingle").alias("key"), "doc", "at", "new.place", "open")
+
+
 def cut_passages(docs: DataFrame) -> DataFrame:
     """``docs`` without the passages that repeat an earlier document; ``n_chars``, if there, is counted anew.
 

@@ -222,3 +222,17 @@ def test_cut(passage_docs):
     left = {r.doc_id: r for r in cut.collect()}
     assert 2 not in left and left[1].text.split() == texts[1][:20] + texts[1][75:] and left[1].n_chars == len(left[1].text)
     assert left[3].text.split() == texts[3] and None in left and 100 in left
+
+
+def test_near_passages_behind_a_notice(spark):
+    """The least documents of a group hold only a notice of the passage; later ones hold near copies of all of it."""
+    rows = []
+    for k in range(10):
+        passage = words(60, 300 + k)
+        for j in range(1 + 11 * (k % 2)):  # beyond SMALL in every second case
+            rows.append((100 * k + j, words(70, 5000 + 100 * k + j) + passage[:34] + words(70, 7000 + 100 * k + j)))
+        rows.append((100 * k + 50, words(70, 400 + k) + passage + words(70, 500 + k)))
+        rows.append((100 * k + 60, words(70, 600 + k) + changed(passage, [45]) + words(70, 700 + k)))
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")
+    found = {r.doc_id: (r.start_word, r.end_word, r.source_id) for r in passages.repeated_passages(docs).collect()}
+    assert found == {100 * k + 60: (70, 130, 100 * k + 50) for k in range(10)}
