@@ -4,7 +4,11 @@ Texts and templates are lower-cased and reduced to words. A run of whole lines w
 ``b`` of them can reach a Dice coefficient of ``t`` only if ``a`` lies between ``b t / (2 - t)`` and ``b (2 - t) / t``, and
 only if they share ``t b / (2 - t)`` bigrams or more. The first bound keeps every run short; the second gives for each
 template a few words of which one must occur, so that most texts are done after some substring tests. Both bounds are
-exact: no licence above the threshold is lost. Bigrams count as often as they occur.
+exact: no run of lines above the threshold is lost. Bigrams count as often as they occur.
+
+With ``within_lines`` the runs are of words, wherever lines begin and end: a notice inside a longer line is compared at its
+own size. The best run begins and ends with a bigram of the template, as any other bigram at its ends lowers the score, so
+that these are all that is tried. ``op3_license_scan`` works so; the lines it gives are those that the run lies in.
 
 The templates are a parameter: their number and length are the user's, not the data's.
 """
@@ -111,10 +115,47 @@ def _licences(text: str, templates: Sequence[_Template], least: float) -> dict[s
     return found
 
 
-def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, least: float = 0.8) -> DataFrame:
+def _licences_within(text: str, templates: Sequence[_Template], least: float) -> dict[str, tuple[float, int, int]]:
+    """The best run of words for each licence found: score, and the first and last line it lies in, from 1."""
+    low = text.lower()
+    left = [t for t in templates if any(m in low for m in t.marks)]
+    found: dict[str, tuple[float, int, int]] = {}
+    if not left:
+        return found
+    words: list[str] = []
+    line_of: list[int] = []
+    for number, line in enumerate(low.split("\n"), 1):
+        own = _WORD.findall(line)
+        words += own
+        line_of += [number] * len(own)
+    pairs = list(zip(words, words[1:], strict=False))
+    for t in left:
+        hits = [i for i, p in enumerate(pairs) if p in t.bigrams]
+        need = max(1, math.ceil(t.size * least / (2 - least) - 1e-9))
+        for h, begin in enumerate(hits):
+            stop = begin + int(t.high + 1e-9)
+            if h + need > len(hits) or hits[h + need - 1] >= stop:
+                continue
+            seen: Counter = Counter()
+            shared = 0
+            for i in hits[h:]:
+                if i >= stop:
+                    break
+                p = pairs[i]
+                seen[p] += 1
+                shared += seen[p] <= t.bigrams[p]
+                score = 2 * shared / (i - begin + 1 + t.size)
+                if score >= least and score > found.get(t.name, (0.0,))[0]:
+                    found[t.name] = (score, line_of[begin], line_of[i + 1])
+    return found
+
+
+def scan_licenses(
+    docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, least: float = 0.8, *, within_lines: bool = False
+) -> DataFrame:
     """``doc_id, license, score, first_line, last_line, licenses``: one row for every row of ``docs``.
 
-    ``licenses`` has all licences with a run of lines of Dice coefficient ``least`` or more, sorted; the others describe
+    ``licenses`` has all licences with a run of lines (with ``within_lines``: of words) of Dice coefficient ``least`` or more, sorted; the others describe
     the best of them (ties: the first by name), or are null where there is none, as for null and empty texts. Other
     columns of ``docs`` are not looked at; repeated rows give a row each.
     """
@@ -122,10 +163,11 @@ def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLA
     @F.pandas_udf("license string, score double, first_line int, last_line int, licenses array<string>")
     def scan(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = [t for t in (_Template(n, x, least) for n, x in templates) if t.size]
+        licences = _licences_within if within_lines else _licences
         for part in parts:
             rows = []
             for text in part:
-                found = _licences(text, own, least) if text else {}
+                found = licences(text, own, least) if text else {}
                 best = min(found, key=lambda k: (-found[k][0], k)) if found else None
                 rows.append((best, *(found[best] if best else (None, None, None)), sorted(found)))
             frame = pd.DataFrame(rows, columns=["license", "score", "first_line", "last_line", "licenses"])
@@ -142,4 +184,4 @@ def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLA
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from reviewlake.llm.common import table
 
-    return scan_licenses(table(spark, sf_dir, "documents"))
+    return scan_licenses(table(spark, sf_dir, "documents"), within_lines=True)

@@ -92,6 +92,35 @@ def test_licences(spark):
     assert licenses.scan_licenses(docs.where("false")).count() == 0
 
 
+def test_licences_within_lines(spark, tmp_path):
+    """Notices inside longer lines, by brute force over all runs of words, through the query."""
+    from collections import Counter
+
+    some = words(30, 77)
+    texts = [
+        "Licensed under CC BY 4.0. Released under the MIT License.", " ".join([*some, "Released under the MIT License.", *some]),
+        "(c) 2020 A. Owner. This work is licensed under the GNU General Public License, version 3. All rights kept.", " ".join(some),
+        "one\ntwo Licensed under the Apache\nLicense, Version 2.0. three", "Released under the MIT", None, "",
+    ]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r for r in licenses.op3_license_scan(spark, str(tmp_path)).collect()}
+    for i, text in enumerate(texts):
+        w, best = licenses._WORD.findall((text or "").lower()), {}
+        for name, t in licenses.TEMPLATES:
+            v = licenses._WORD.findall(t.lower())
+            b = Counter(zip(v, v[1:], strict=False))
+            for x in range(len(w)):
+                for y in range(x + 2, len(w) + 1):
+                    a = Counter(zip(w[x:y], w[x + 1 : y], strict=False))
+                    s = 2 * sum((a & b).values()) / (sum(a.values()) + sum(b.values()))
+                    if s >= 0.8:
+                        best[name] = max(best.get(name, 0), s)
+        assert found[i].licenses == sorted(best), (text, best)
+        assert not best or abs(found[i].score - max(best.values())) < 1e-9
+    assert {"CC-BY-4.0", "MIT"} <= set(found[0].licenses) and found[1].licenses == ["MIT"] and "GPL-3.0" in found[2].licenses
+    assert (found[4].license, found[4].first_line, found[4].last_line) == ("Apache-2.0", 2, 3)
+
+
 # ---- preference formatting ------------------------------------------------------------------
 def test_preference_pairs(spark):
     schema = "pair_id long, chosen array<struct<role:string,text:string>>, rejected array<struct<role:string,text:string>>, prompt string"
