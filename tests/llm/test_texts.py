@@ -193,6 +193,20 @@ def test_near_copies(spark):
     assert order_minhash.near_duplicates(docs.where("false")).count() == 0
 
 
+def test_texts_that_no_tuple_splits(spark, monkeypatch):
+    """Unlike texts that agree in all tuples, more than SMALL of them, are compared in full."""
+    from pyspark.sql import functions as F
+
+    rows = [(i, " ".join(words(60, 800 + i))) for i in range(11)] + [(20, " ".join(changed(words(60, 807), [30])))]
+    sketched = order_minhash._sketched
+    alike = F.array(F.lit(1).cast("long"), F.lit(2).cast("long"))
+    monkeypatch.setattr(order_minhash, "SKETCHES", 2)
+    monkeypatch.setattr(order_minhash, "_sketched", lambda docs: sketched(docs).withColumn("sketch", alike))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    label = {r.doc_id: r.class_id for r in order_minhash.near_duplicates(docs).collect()}
+    assert label == {i: i for i in range(11)} | {20: 7}
+
+
 # ---- repeated passages ----------------------------------------------------------------------
 def test_compact_windows_by_brute_force():
     texts = [rng.integers(1, 2**63, n).astype(np.uint64) for n in (49, 50, 51, 200, 330)]
