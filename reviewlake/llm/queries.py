@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from reviewlake.llm import bitplanes, bpe, language, licenses, mtree, neargraph, order_minhash, packing, passages, preference, tokens, whitening
+from reviewlake.llm import bitplanes, bpe, html_text, language, licenses, mtree, neargraph, order_minhash, packing, passages, preference, tokens, whitening
 
 QUERIES = {
     "op1_token_counts": (tokens.op1_token_counts, None),
@@ -14,6 +14,7 @@ QUERIES = {
     "op6_embedding_graph": (neargraph.op6_embedding_graph, neargraph.OP6_SQL),
     "op9_exact_top_k": (mtree.op9_exact_top_k, mtree.OP9_SQL),
     "op7_preference_pairs": (preference.op7_preference_pairs, preference.OP7_SQL),
+    "op11_main_text": (html_text.op11_main_text, None),
     "op12_bit_plane_clusters": (bitplanes.op12_bit_plane_clusters, bitplanes.OP12_SQL),
     "op13_whitening": (whitening.op13_whitening, None),
     "op10_passages": (passages.op10_passages, None),
