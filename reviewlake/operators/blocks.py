@@ -101,16 +101,23 @@ def _python_block_array(content: Column, kinds: tuple[str, ...]) -> Column:
     )
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)``, with ``value`` computed once and not at each of its uses."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def _generic_block_array(content: Column) -> Column:
-    lines = split_lines(content)
-    return F.transform(
-        generic_extents(lines),
-        lambda f: F.struct(
-            f["start_line"].alias("start_line"), F.lit("").alias("above"), F.lit("").alias("indent"),
-            f["name"].alias("name"),
-            F.array_join(F.slice(lines, f["start_line"], f["end_line"] - f["start_line"] + 1), "\n").alias("block"),
-        ),
-    )
+    def blocks(lines: Column) -> Column:
+        return F.transform(
+            generic_extents(lines),
+            lambda f: F.struct(
+                f["start_line"].alias("start_line"), F.lit("").alias("above"), F.lit("").alias("indent"),
+                f["name"].alias("name"),
+                F.array_join(F.slice(lines, f["start_line"], f["end_line"] - f["start_line"] + 1), "\n").alias("block"),
+            ),
+        )
+
+    return _let(split_lines(content), blocks)
 
 
 def code_blocks(
@@ -216,39 +223,38 @@ def generic_extents(lines: Column) -> Column:
     """Functions of brace languages: array of (name, start_line, end_line).
 
     A keyword line that names a function opens it, and replaces one still open; the first later
-    line where the running brace depth is zero or less closes it. One fold over the lines.
+    line where the running brace depth is zero or less closes it. Lines between two openers are folded
+    on their own, with a depth and an end as the only state, so that time grows with the lines.
     """
-    numbered = F.transform(lines, lambda l, i: F.struct(l.alias("line"), (i + 1).alias("no")))
-    nothing = F.struct(
-        F.lit(None).cast("string").alias("name"), F.lit(0).alias("start"), F.lit(0).alias("depth"),
-        F.array().cast("array<struct<name:string,start_line:int,end_line:int>>").alias("found"),
-    )
-
-    def step(acc, x):
-        line, no = x["line"], x["no"]
+    def facts(line: Column, i: Column) -> Column:
         stripped = strip(line)
-        name = F.regexp_extract(stripped, r"(?U)[\s(](\w+)\s*\(", 1)
         keyword = stripped.rlike(_GENERIC_START)
-        delta = _count(line, "{") - _count(line, "}")
-        depth = acc["depth"] + delta
-        closes = ~keyword & acc["name"].isNotNull() & (depth <= 0)
-
-        def state(new_name, start, new_depth, found):
-            return F.struct(
-                new_name.alias("name"), start.alias("start"), new_depth.alias("depth"), found.alias("found")
-            )
-
-        closed = F.struct(
-            acc["name"].alias("name"), acc["start"].alias("start_line"), no.alias("end_line")
+        return F.struct(
+            (i + 1).alias("no"), keyword.alias("keyword"),
+            F.when(keyword, F.regexp_extract(stripped, r"(?U)[\s(](\w+)\s*\(", 1)).otherwise("").alias("name"),
+            (_count(line, "{") - _count(line, "}")).alias("delta"),
         )
-        return (
-            F.when(keyword & (name != ""), state(name, no, delta, acc["found"]))
-            .when(closes, state(F.lit(None).cast("string"), F.lit(0), F.lit(0), F.concat(acc["found"], F.array(closed))))
-            .when(~keyword & acc["name"].isNotNull(), state(acc["name"], acc["start"], depth, acc["found"]))
-            .otherwise(acc)
+
+    def step(acc: Column, x: Column) -> Column:
+        depth = acc["depth"] + x["delta"]
+        return F.when((acc["end"] > 0) | x["keyword"], acc).otherwise(
+            F.struct(depth.alias("depth"), F.when(depth <= 0, x["no"]).otherwise(0).alias("end"))
         )
 
-    return F.aggregate(numbered, nothing, step, lambda acc: acc["found"])
+    def extents(every: Column) -> Column:
+        def closed(openers: Column) -> Column:
+            def extent(opener: Column, k: Column) -> Column:
+                following = F.coalesce(F.get(openers, k + 1)["no"], F.size(every) + 1)
+                inside = F.slice(every, opener["no"] + 1, following - opener["no"] - 1)
+                begin = F.struct(opener["delta"].alias("depth"), F.lit(0).alias("end"))
+                end = F.aggregate(inside, begin, step, lambda acc: acc["end"])
+                return F.struct(opener["name"].alias("name"), opener["no"].alias("start_line"), end.alias("end_line"))
+
+            return F.filter(F.transform(openers, extent), lambda f: f["end_line"] > 0)
+
+        return _let(F.filter(every, lambda x: x["name"] != ""), closed)
+
+    return _let(F.transform(lines, facts), extents)
 
 
 def generic_functions(

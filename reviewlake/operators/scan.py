@@ -4,7 +4,8 @@ A scan needs no shuffle. Per file, cheap substring tests on the case-folded text
 candidate rules; each (file, candidate) row then runs its pattern exactly once: the matches are
 marked in the text, the marked text is split into lines, and the lines that hold a mark are the
 findings. The pattern is a column, but neighbouring rows of one file differ, so it is compiled
-once per candidate, which is small next to the pass over the text.
+once per candidate, which is small next to the pass over the text. In ASCII texts a search looks
+for the characters that a match can begin with before it tries the pattern itself.
 """
 
 from __future__ import annotations
@@ -22,11 +23,12 @@ from reviewlake.rules.model import (
     CAPTURE_SEP,
     MARK,
     Rule,
+    beginning,
     pattern_rules,
     required_literals,
 )
 
-MAX_RULES = 20_000  # rules travel inside the plan
+ORDINAL_STEP = 2**32  # a line number is an int, so ordinals of different rules never meet
 
 _RULE_TYPE = (
     "array<struct<id string, category string, severity string, message string,"
@@ -60,7 +62,7 @@ def rules_literal(rules: Sequence[Rule]) -> Column:
         {
             "id": r.id, "category": r.category, "severity": r.severity, "message": r.message,
             "suggestion": r.suggestion, "guard": r.guard, "view": r.view,
-            "ascii": _flags(r, False) + r.pattern, "unicode": _flags(r, True) + r.pattern,
+            "ascii": _flags(r, False) + beginning(r.pattern, "i" in r.flags) + r.pattern, "unicode": _flags(r, True) + r.pattern,
             "replacement": r.replacement, "precheck": r.precheck or None,
             "needs": required_literals(r.pattern),
         }
@@ -109,8 +111,6 @@ def scan_rules(
     match there, which is what keyed de-duplication would leave.
     """
     rules = list(pattern_rules() if rules is None else rules)
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules; at most {MAX_RULES} fit into a plan")
     keep = list(keep)
     table = rules_literal(rules)
 
@@ -242,5 +242,5 @@ def _finding_columns() -> list[Column]:
         filled("rule.message").alias("message"),
         snippet.alias("code_snippet"),
         filled("rule.suggestion").alias("suggestion"),
-        (F.col("rule_no").cast("long") * 1_000_000 + F.col("line_number")).alias("ordinal"),
+        (F.col("rule_no").cast("long") * ORDINAL_STEP + F.col("line_number")).alias("ordinal"),
     ]

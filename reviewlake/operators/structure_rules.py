@@ -11,7 +11,7 @@ from reviewlake.functions.text import strip, to_snake_case
 from reviewlake.operators.blocks import GENERIC_LANGUAGES, PYTHON_KINDS, code_blocks
 from reviewlake.operators.lines import duplicate_blocks
 from reviewlake.operators.metrics import BRACE_LANGUAGES, with_metrics
-from reviewlake.operators.scan import code_view
+from reviewlake.operators.scan import ORDINAL_STEP, code_view
 from reviewlake.rules import catalog as C
 
 # emission order of structural rules, placed between the pattern rules by category
@@ -34,7 +34,7 @@ def _finding(rule_id, category, severity, line, end, message, snippet, suggestio
         F.lit(rule_id).alias("rule_id"), line.cast("int").alias("line_number"),
         end.cast("int").alias("end_line"), message.alias("message"), snippet.alias("code_snippet"),
         suggestion.alias("suggestion"),
-        (F.lit(ORDER[rule_id]).cast("long") * 1_000_000 + line).alias("ordinal"),
+        (F.lit(ORDER[rule_id]).cast("long") * ORDINAL_STEP + line).alias("ordinal"),
     )
 
 

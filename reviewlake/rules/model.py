@@ -367,3 +367,73 @@ def required_literals(pattern: str, sets: int = 3) -> tuple[tuple[str, ...], ...
         return ()
     lowered = [tuple(dict.fromkeys(x.lower() for x in s)) for s in found]
     return tuple(dict.fromkeys(tuple(s) for s in _best([list(s) for s in lowered], sets)))
+
+
+# ---- characters a match can begin with ------------------------------------------------------
+_CLASSES = {"CATEGORY_DIGIT": r"\d", "CATEGORY_SPACE": r"\s", "CATEGORY_WORD": r"\w"}
+
+
+def _beginnings(tree) -> tuple[set[str] | None, bool]:
+    """Characters and classes that a match of ``tree`` can begin with (None: any), and whether it can be empty."""
+    found: set[str] = set()
+    for op, arg in tree:
+        name = str(op)
+        empty = False
+        if name == "LITERAL":
+            own: set[str] | None = {chr(arg)}
+        elif name == "IN":
+            own = set()
+            for kind, value in arg:
+                if str(kind) == "LITERAL":
+                    own.add(chr(value))
+                elif str(kind) == "RANGE" and value[1] < 128:
+                    own |= {chr(c) for c in range(value[0], value[1] + 1)}
+                elif str(kind) == "CATEGORY" and str(value) in _CLASSES:
+                    own.add(_CLASSES[str(value)])
+                else:
+                    own = None
+                    break
+        elif name == "SUBPATTERN":
+            own, empty = _beginnings(arg[3])
+        elif name == "ATOMIC_GROUP":
+            own, empty = _beginnings(arg)
+        elif name == "BRANCH":
+            parts = [_beginnings(b) for b in arg[1]]
+            own = None if any(c is None for c, _ in parts) else set().union(*[c for c, _ in parts])
+            empty = any(e for _, e in parts)
+        elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT"):
+            own, empty = _beginnings(arg[2])
+            empty = empty or arg[0] == 0
+        elif name in ("AT", "ASSERT", "ASSERT_NOT"):
+            own, empty = set(), True  # takes no character
+        else:
+            return None, False
+        if own is None:
+            return None, False
+        found |= own
+        if not empty:
+            return found, False
+    return found, True
+
+
+@lru_cache(maxsize=None)
+def beginning(pattern: str, any_case: bool) -> str:
+    """A look-ahead for the characters with which an ASCII match begins, to go in front of ``pattern``; empty if it is of no use.
+
+    A search then passes over most places by one look into a table, where the pattern's own first steps (word boundaries,
+    look-arounds, alternatives) cost several times as much. Patterns that begin at a line start or with a plain literal
+    need none.
+    """
+    if pattern.startswith("^"):
+        return ""
+    try:
+        tree = _regex_parser.parse(pattern.replace(r"\z", r"\Z"), re.MULTILINE)
+        chars, empty = _beginnings(tree)
+    except (re.error, RecursionError):
+        return ""
+    if empty or not chars or r"\w" in chars or str(tree[0][0]) == "LITERAL" or not all(ord(c[-1]) < 128 for c in chars):
+        return ""
+    if any_case or "(?i" in pattern:
+        chars = {x for c in chars for x in ((c,) if len(c) > 1 else (c.lower(), c.upper()))}
+    spelled = "".join(c if len(c) > 1 or c.isalnum() else f"\\x{ord(c):02x}" for c in sorted(chars))
+    return f"(?=[{spelled}])"

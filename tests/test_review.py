@@ -170,14 +170,13 @@ def test_skewed_keys_stay_whole(spark):
     assert (last["position"], last["change"], last["moving_average"]) == (500, 1.0, 497.0)
 
 
-def test_oversize_groups_are_never_collected(spark, sf, monkeypatch):
+def test_texts_of_large_groups_are_whole(spark, sf):
     from checks import bindings as B
 
-    monkeypatch.setattr(B, "MAX_FILE_KB", 1)
     df = B.code_files(spark, sf)
     sizes = B.snippet_lines(B.table(spark, sf, "lineitem"), 5).groupBy("l_suppkey").agg(F.sum(F.octet_length("code") + 1).alias("n"))
-    large = sizes.where("n - 1 > 1024").count()
-    assert large > 0 and df.where("content is null").count() == large and df.count() == sizes.count()
+    both = df.join(sizes, df["file_id"] == sizes["l_suppkey"])
+    assert both.count() == df.count() == sizes.count() and both.where("octet_length(content) = n - 1").count() == df.count()
 
 
 @pytest.mark.parametrize("name", ["summary", "json"])

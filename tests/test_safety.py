@@ -58,6 +58,39 @@ def test_mutable_defaults_agree_with_the_lazy_spelling(text):
     assert [m.span(3) for m in re.finditer(ours, text)] == [m.span(3) for m in re.finditer(lazy, text)]
 
 
+def test_java_methods_agree_with_the_plain_spelling(spark):
+    import random
+
+    from reviewlake.operators.symbols import java_symbols
+    from reviewlake.rules.catalog import JAVA_METHOD_SHAPE
+
+    rng = random.Random(7)
+    parts = ["public", "static", "private", " ", " ", "\n", "int", "foo", "(", ")", "{", "}", "<T>", "[]", "throws E", ", ", "publicity", "x"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(3, 40))) for _ in range(4000)]
+    texts += ["public Foo() {", "  public Foo () {", "static static int a(b c) throws D {", "x public static void main(String[] a) {\n} private int b(){", "staticpublic foo() {"]
+    rows = [(i, "java", t) for i, t in enumerate(texts)]
+    found = java_symbols(spark.createDataFrame(rows, "file_id long, language string, content string")).where("kind = 'function'")
+    want = sorted((i, m[1], t[: m.start()].count("\n") + 1) for i, _, t in rows for m in re.finditer(JAVA_METHOD_SHAPE, t))
+    assert sorted(tuple(r) for r in found.select("file_id", "name", "line_number").collect()) == want and len(want) > 15
+
+
+def test_long_runs_of_modifiers_and_many_functions(spark):
+    import time
+
+    from reviewlake.operators.blocks import generic_functions
+    from reviewlake.operators.symbols import java_symbols
+
+    schema = "file_id long, language string, content string"
+    long = ["static " * 60_000, " " * 400_000, "\n" * 400_000, "public " * 60_000 + "int f() {", "static" * 60_000]
+    start = time.time()
+    found = java_symbols(spark.createDataFrame([(i, "java", t) for i, t in enumerate(long)], schema)).collect()
+    assert [(r.file_id, r["name"]) for r in found] == [(3, "f")]
+    many = "fn f() {\n}\n" * 16_000
+    found = generic_functions(spark.createDataFrame([(1, "rust", many)], schema))
+    assert [tuple(r) for r in found.selectExpr("count(*)", "max(end_line)", "min(end_line - start_line)").collect()] == [(16_000, 32_000, 1)]
+    assert time.time() - start < 60
+
+
 PATTERNS = [
     "[[]", "x{", "foo{,3}", "(?P<n_1>a)", "(a)?b(?(1)c|d)", r"test_.*\.py", r"\w+é$", r"^(?i:AB)c\Z", "(?s)a.b", "(?x) a b # c",
     "(?P<q>[\"']).*(?P=q)", "a|b|", "[^\\]\\[a-z\\d]+?", "(?<=x)y(?!z)", "a{2,3}+", "[&&x]", "\\.py$",
