@@ -13,12 +13,13 @@
   similarity of 0.8 or more. Where a pair fails, all members of its window are grouped by each run of ``WORDS`` words around
   it, so that word-by-word repeats are found also if the first member of the group is not among them.
 * The first member may hold only a frequent notice, or a variant of the passage below 0.8. So all members that differ
-  from it around the window are grouped anew by runs of ``RUN`` words, of which any near copy shares one. Groups of up to
-  ``SMALL`` places are compared in full; in larger ones each place is compared with the first, and the group is parted by
-  each shingle that the first one lacks, until no group is left: texts that are near copies of each other and not of the
-  first share such a shingle.
+  from it around the window are keyed anew, by pairs of runs of ``RUN`` words: a run that is the least of its neighbourhood,
+  and the least one of those that begin ``NEAR`` to ``FAR`` words behind it. Two texts meet under such a key only if they have
+  ``NEAR + RUN`` words or more in common in this way, with or without a change between the two runs, so that shorter notices bring
+  nothing together. Again each member of a key is paired with the first one and verified, once.
 
-A group holds at most a few rows for each document, and is read once in order; nothing is collected for it.
+A group of windows holds at most a few rows for each document, and is read once in order; nothing is collected for it. The
+number of passes does not depend on the data.
 """
 
 from __future__ import annotations
@@ -42,8 +43,8 @@ HASHES = 3
 ENOUGH = 2
 BESIDE = 12
 SIMILARITY = 0.8
-RUN = 13  # the least of 13 such runs is taken: one of any 25 equal words, which 50 words with a Jaccard of 0.8 have
-SMALL = 8
+RUN = 8
+NEAR, FAR = 18, 36
 _BLOCK = 64  # the first and the last window of each block are verified; windows stand at most LEAST apart
 _AROUND = WORDS - 2
 _GAP = 4
@@ -225,15 +226,26 @@ def _verify():
     return verify
 
 
+def _other_texts(docs: DataFrame) -> DataFrame:
+    """``doc_id, text_hash`` of the texts of ids that have several, but for the least text, which stands for the document."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).groupBy("doc_id").count().where("doc_id IS NOT NULL AND count > 1")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(ids.select("doc_id"), "doc_id", "left_semi")
+    least = rows.where("text IS NOT NULL").groupBy("doc_id").agg(F.min("text").alias("least"))
+    return rows.join(least, "doc_id").where("text <> least").select("doc_id", F.xxhash64("text").alias("text_hash")).distinct()
+
+
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """``doc_id, start_word, end_word, source_id``: the stretches of each text that repeat an earlier document.
 
     Words are what white space parts; ``end_word`` is not in the stretch any more. ``source_id``, smaller than ``doc_id``, is
     the least document that a part of the stretch was found in. Null and short texts have none; rows without an id take
-    no part; rows of one id are one document. Other columns are not looked at.
+    no part; rows of one id are one document, and the least of their texts counts. Other columns are not looked at.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     own = own.where("doc_id IS NOT NULL AND text IS NOT NULL")
+    others = written(_other_texts(docs), "passage-other-texts")
+    if not others.isEmpty():
+        own = own.withColumn("text_hash", F.xxhash64("text")).join(others, ["doc_id", "text_hash"], "left_anti").drop("text_hash")
     group = Window.partitionBy("key")
     first = F.min(F.struct("doc", "at")).over(group)
     # of the first text itself further places only: they are not compared with it, but with what comes later
@@ -270,8 +282,8 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
         others = checked.where(~F.col("same")).join(failed, ["a", "ca"], "left_semi")
         spans = spans.union(_by_runs(others, slices))
     own_places = anchors.where("a = b").select(F.col("b").alias("doc"), F.col("cb").alias("at"), F.lit(False).alias("open"))
-    for found in _among(checked.where(~F.col("same")).select(F.col("b").alias("doc"), F.col("cb").alias("at"), (F.col("start") < 0).alias("open")).union(own_places), slices):
-        spans = spans.union(found)
+    members = checked.where(~F.col("same")).select(F.col("b").alias("doc"), F.col("cb").alias("at"), (F.col("start") < 0).alias("open"))
+    spans = spans.union(_among(members.union(own_places), slices))
 
     # stretches that touch become one
     row = Window.partitionBy("doc").orderBy("start", "stop")
@@ -315,27 +327,29 @@ def _hashed(words: np.ndarray, length: int) -> np.ndarray:
     return mixed(out)
 
 
-def chosen_runs(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and places of the runs of ``RUN`` words that are the least of ``RUN`` runs in a row."""
+def run_pairs(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and places of pairs of runs: a run that is the least of ``RUN`` runs in a row, with the least one ``NEAR`` to ``FAR`` behind it."""
     hashes = _hashed(words, RUN)
-    if not len(hashes):
-        return hashes, np.empty(0, np.int64)
-    rows = np.lib.stride_tricks.sliding_window_view(hashes, min(RUN, len(hashes)))
+    if len(hashes) <= FAR:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    rows = np.lib.stride_tricks.sliding_window_view(hashes, RUN)
     places = np.unique(rows.argmin(axis=1) + np.arange(len(rows)))
-    return hashes[places], places
+    places = places[places + FAR < len(hashes)]
+    behind = np.lib.stride_tricks.sliding_window_view(hashes, FAR - NEAR + 1)[places + NEAR].min(axis=1)
+    return mixed(hashes[places] * np.uint64(0x9E3779B97F4A7C15) + behind), places
 
 
-def _among(members: DataFrame, slices: DataFrame) -> Iterator[DataFrame]:
-    """Near copies among the members (``doc, at, open``), round by round: ``doc, start, stop, source`` of the open ones."""
+def _among(members: DataFrame, slices: DataFrame) -> DataFrame:
+    """Near copies among the members (``doc, at, open``): ``doc, start, stop, source`` of the open ones."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             key, row, place = [], [], []
             for i, (begin, words) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                hashes, places = chosen_runs(np.frombuffer(words, "<u2"))
-                key.append(hashes)
+                own, places = run_pairs(np.frombuffer(words, "<u2").astype(np.uint64))
+                key.append(own)
                 place.append(places + begin)
-                row.append(np.full(len(hashes), i))
+                row.append(np.full(len(own), i))
             if row:
                 of = pa.array(np.concatenate(row))
                 yield pa.RecordBatch.from_arrays(
@@ -344,73 +358,35 @@ def _among(members: DataFrame, slices: DataFrame) -> Iterator[DataFrame]:
                     ["key", "doc", "at", "place", "open"],
                 )
 
-    @F.pandas_udf("array<struct<shingle: long, place: int>>")
-    def lacking(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for first, other, begins in parts:
-            out = []
-            for a, b, begin in zip(first, other, begins, strict=True):
-                own, at = np.unique(_hashed(np.frombuffer(b, "<u2"), K), return_index=True)
-                new = ~np.isin(own, _hashed(np.frombuffer(a, "<u2"), K))
-                out.append([{"shingle": s, "place": p} for s, p in zip(own[new].view(np.int64).tolist(), (at[new] + begin).tolist(), strict=True)])
-            yield pd.Series(out, dtype=object)
-
     asked = members.groupBy("doc", "at").agg(F.max("open").alias("open"))
     around = slices.join(asked, ["doc", "at"]).select("doc", "at", "begin", "words", "open")
     rows = around.mapInArrow(keys, "key long, doc long, at int, place int, open boolean")
-    # of a run that several slices of a text hold, the slice that has it most in the middle
-    rows = rows.groupBy("key", "doc", "place").agg(F.min_by("at", F.abs(F.col("at") - F.col("place"))).alias("at"), F.max("open").alias("open"))
-    first = slices.select(F.col("doc").alias("a"), F.col("at").alias("aa"), F.col("begin").alias("ba"), F.col("words").alias("wa"))
-    second = slices.select(F.col("doc").alias("b"), F.col("at").alias("ab"), F.col("begin").alias("bb"), F.col("words").alias("wb"))
-    tried = None
-    while True:
-        whole = Window.partitionBy("key")
-        groups = written(
-            rows.withColumn("lead", F.min(F.struct("doc", "at", "place")).over(whole)).withColumn("last", F.max("doc").over(whole))
-            .withColumn("size", F.count("*").over(whole)).withColumn("any", F.max("open").over(whole))
-            .where((F.col("lead.doc") != F.col("last")) & F.col("any")).drop("any", "last"),
-            "passage-groups",
-        )
-        if groups.isEmpty():
-            return
-        few, many = groups.where(F.col("size") <= SMALL), groups.where(F.col("size") > SMALL)
-        x = few.select("key", F.col("doc").alias("a"), F.col("at").alias("aa"), F.col("place").alias("ca"))
-        y = few.select("key", F.col("doc").alias("b"), F.col("at").alias("ab"), F.col("place").alias("cb"), "open")
-        star = many.select(
-            F.col("lead.doc").alias("a"), F.col("lead.at").alias("aa"), F.col("lead.place").alias("ca"),
-            F.col("doc").alias("b"), F.col("at").alias("ab"), F.col("place").alias("cb"), "open",
-        )
-        pairs = x.join(y, "key").select(*star.columns).union(star).where("open AND a < b")
-        # runs of one stretch, at one shift, are one pair
-        pairs = pairs.groupBy("a", "b", (F.col("ca") - F.col("cb")).alias("shift"), F.floor(F.col("cb") / _BLOCK).alias("block")).agg(
-            F.min(F.struct("cb", "aa", "ab", "ca")).alias("p")
-        ).select("a", "b", "p.*")
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b", "ca", "cb", "aa", "ab"], "left_anti")
-        checked = written(
-            pairs.join(first, ["a", "aa"]).join(second, ["b", "ab"]).select(
-                "a", "b", "ca", "cb", "aa", "ab", _verify()("wa", "ba", "ca", "wb", "bb", "cb").alias("span")
-            ).select("a", "b", "ca", "cb", "aa", "ab", "span.start", "span.stop"),
-            "passage-among",
-        )
-        done = checked.select("a", "b", "ca", "cb", "aa", "ab")
-        tried = done if tried is None else tried.union(done)
-        yield checked.where("start >= 0").select(F.col("b").alias("doc"), "start", "stop", F.col("a").alias("source"))
-        # a slice with a verified stretch is done, and serves the others only
-        linked = checked.where("start >= 0").select("b", "ab").distinct().withColumn("done", F.lit(True))
-        parted = many.groupBy(F.col("lead.doc").alias("a"), F.col("lead.at").alias("aa"), F.col("doc").alias("b"), F.col("at").alias("ab")).agg(F.max("open").alias("open"))
-        parted = parted.join(linked, ["b", "ab"], "left").withColumn("open", F.col("open") & F.col("done").isNull())
-        rows = parted.join(first, ["a", "aa"]).join(second, ["b", "ab"]).select(
-            "a", "aa", F.explode(lacking("wa", "wb", "bb")).alias("new"), F.col("b").alias("doc"), F.col("ab").alias("at"), "open"
-        ).select(F.xxhash64("a", "aa", "new.shingle").alias("key"), "doc", "at", "new.place", "open")
+    # of a pair that several slices of a text hold, the slice that has it most in the middle
+    rows = written(
+        rows.groupBy("key", "doc", "place").agg(F.min_by("at", F.abs(F.col("at") - F.col("place"))).alias("at"), F.max("open").alias("open")),
+        "passage-pairs",
+    )
+    first = rows.groupBy("key").agg(F.min(F.struct("doc", "at", "place")).alias("lead"), F.max("doc").alias("last"), F.max("open").alias("any"))
+    met = rows.where("open").join(first.where("any AND lead.doc < last").select("key", "lead"), "key").where("lead.doc < doc")
+    # pairs of one stretch, at one shift, are one
+    pairs = met.groupBy(
+        F.col("lead.doc").alias("a"), F.col("doc").alias("b"), (F.col("lead.place") - F.col("place")).alias("shift"), F.floor(F.col("place") / _BLOCK).alias("block")
+    ).agg(F.min(F.struct(F.col("place").alias("cb"), F.col("lead.at").alias("aa"), F.col("at").alias("ab"), F.col("lead.place").alias("ca"))).alias("p"))
+    of_a = slices.select(F.col("doc").alias("a"), F.col("at").alias("aa"), F.col("begin").alias("ba"), F.col("words").alias("wa"))
+    of_b = slices.select(F.col("doc").alias("b"), F.col("at").alias("ab"), F.col("begin").alias("bb"), F.col("words").alias("wb"))
+    both = pairs.select("a", "b", "p.*").join(of_a, ["a", "aa"]).join(of_b, ["b", "ab"])
+    checked = both.select("a", "b", _verify()("wa", "ba", "ca", "wb", "bb", "cb").alias("span")).where("span.start >= 0")
+    return checked.select(F.col("b").alias("doc"), "span.start", "span.stop", F.col("a").alias("source"))
 
 
 def cut_passages(docs: DataFrame) -> DataFrame:
     """``docs`` without the passages that repeat an earlier document; ``n_chars``, if there, is counted anew.
 
-    Documents of which no word is left go; those without a repeated passage stay as they are.
+    Documents of which no word is left go; those without a repeated passage stay as they are, as do rows with another text than the
+    one that stands for their id.
     """
-    spans = repeated_passages(docs).groupBy(F.col("doc_id").alias("doc_id_")).agg(
-        F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias("spans_")
+    cuts = repeated_passages(docs).groupBy(F.col("doc_id").alias("id")).agg(
+        F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias("spans")
     )
 
     @F.pandas_udf("string")
@@ -432,12 +408,16 @@ def cut_passages(docs: DataFrame) -> DataFrame:
                 out.append("".join([*kept, text[done:]]))
             yield pd.Series(out, dtype=object)
 
-    joined = docs.join(spans, docs["doc_id"] == spans["doc_id_"], "left")
-    new = F.when(F.col("spans_").isNull(), F.col("text")).otherwise(without("text", "spans_"))
-    cut = joined.withColumn("text", new).where(F.col("spans_").isNull() | F.col("text").rlike(r"\S"))
-    if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.when(F.col("spans_").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return cut.select(*docs.columns)
+    # the columns of docs stay inside a struct, so that no name of theirs meets one of these
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    found = rows.join(cuts, F.col("row.doc_id").cast("long") == F.col("id"), "left")
+    others = _other_texts(docs).select(F.col("doc_id").alias("other_id"), "text_hash", F.lit(True).alias("other"))
+    found = found.join(others, (F.col("id") == F.col("other_id")) & (F.xxhash64(F.col("row.text").cast("string")) == F.col("text_hash")), "left")
+    is_cut = F.col("spans").isNotNull() & F.col("other").isNull() & F.col("row.text").isNotNull()
+    cut = found.select("row", is_cut.alias("is_cut"), F.when(is_cut, without("row.text", "spans")).otherwise(F.col("row.text")).alias("new"))
+    cut = cut.where(~F.col("is_cut") | F.col("new").rlike(r"\S"))
+    changed = {"text": F.col("new"), "n_chars": F.when(F.col("is_cut"), F.length("new").cast("long")).otherwise(F.col("row.n_chars"))} if "n_chars" in docs.columns else {"text": F.col("new")}
+    return cut.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def _words_of(text: str, word):

@@ -279,3 +279,34 @@ def test_near_passages_behind_a_notice(spark):
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")
     found = {r.doc_id: (r.start_word, r.end_word, r.source_id) for r in passages.repeated_passages(docs).collect()}
     assert found == {100 * k + 60: (70, 130, 100 * k + 50) for k in range(10)}
+
+
+def test_cut_of_ids_with_several_texts_and_clashing_names(spark):
+    p = words(60, 900)
+    rows = [(1, " ".join(words(30, 901) + p), "x", 1), (2, " ".join(["aaa", *p, *words(20, 902)]), "x", 1), (2, " ".join(words(5, 903) + ["zz"]), "x", 1), (2, None, "x", 1), (3, " ".join(p), None, None)]
+    docs = spark.createDataFrame([(*r, 5) for r in rows], "doc_id long, text string, spans string, doc_id_ int, other int")
+    cut = passages.cut_passages(docs)
+    assert cut.columns == docs.columns
+    left = sorted(((r.doc_id, r.text) for r in cut.collect()), key=str)
+    assert left == sorted([(1, rows[0][1]), (2, " ".join(["aaa", *words(20, 902)])), (2, rows[2][1]), (2, None)], key=str)
+
+
+def test_planted_passages_are_found(spark):
+    """Of near copies planted at random, with Jaccard 0.8 or more, almost all words are found, and nothing in clean texts."""
+    r = np.random.default_rng(77)
+    rows, planted = [], {}
+    for k in range(120):
+        size = int(r.choice([55, 80, 150, 300]))
+        passage = words(size, 10_000 + k)
+        copy = changed(passage, sorted(r.choice(np.arange(10, size - 10), size // 60, replace=False)))
+        rows.append((2 * k, words(60, 20_000 + k) + passage + words(60, 30_000 + k)))
+        rows.append((2 * k + 1, words(50, 40_000 + k) + copy + words(50, 50_000 + k)))
+        planted[2 * k + 1] = (50, 50 + size, 2 * k)
+    rows += [(1000 + k, words(200, 60_000 + k)) for k in range(40)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")
+    found = {}
+    for x in passages.repeated_passages(docs).collect():
+        assert x.doc_id in planted and x.source_id == planted[x.doc_id][2] and planted[x.doc_id][0] <= x.start_word < x.end_word <= planted[x.doc_id][1]
+        found[x.doc_id] = found.get(x.doc_id, 0) + x.end_word - x.start_word
+    assert len(found) >= 0.95 * len(planted)
+    assert sum(found.values()) >= 0.93 * sum(b - a for a, b, _ in planted.values())
