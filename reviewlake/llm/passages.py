@@ -163,24 +163,32 @@ def _slices(asked: DataFrame) -> DataFrame:
     return asked.select("doc_id", "text", "places").mapInArrow(cut, "doc long, at int, begin int, words binary")
 
 
+# how many words to pass over in both texts behind an equal run: few first, and as many in one as in the other if possible
+_STEPS = [
+    (x, total - x)
+    for total in range(1, 2 * _GAP + 1)
+    for x in sorted(range(max(0, total - _GAP), min(_GAP, total) + 1), key=lambda x: abs(2 * x - total))  # noqa: B023
+]
+
+
 def _extended(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int]]:
-    """Equal runs (place in a, in b, length) from the start of both on, over gaps of up to ``_GAP`` words."""
+    """Equal runs (place in a, in b, length) from the start of both on, over gaps of up to ``_GAP`` words (16-bit hashes)."""
     i = j = 0
+    size_a, size_b = len(a), len(b)
+    bytes_a, bytes_b = a.tobytes(), b.tobytes()  # three words are compared as six bytes
     runs = []
     while True:
-        n = min(len(a) - i, len(b) - j)
-        differ = np.flatnonzero(a[i : i + n] != b[j : j + n])
-        length = int(differ[0]) if len(differ) else n
+        n = min(size_a - i, size_b - j)
+        differ = a[i : i + n] != b[j : j + n]
+        length = int(differ.argmax()) if n else 0
+        if n and not differ[length]:
+            length = n
         runs.append((i, j, length))
         i, j = i + length, j + length
-        for total in range(1, 2 * _GAP + 1):
-            step = next(
-                ((x, total - x) for x in sorted(range(max(0, total - _GAP), min(_GAP, total) + 1), key=lambda x: abs(2 * x - total))
-                 if i + x + 3 <= len(a) and j + total - x + 3 <= len(b) and (a[i + x : i + x + 3] == b[j + total - x : j + total - x + 3]).all()),
-                None,
-            )
-            if step:
-                i, j = i + step[0], j + step[1]
+        for x, y in _STEPS:
+            p, q = i + x, j + y
+            if p + 3 <= size_a and q + 3 <= size_b and bytes_a[2 * p : 2 * p + 6] == bytes_b[2 * q : 2 * q + 6]:
+                i, j = p, q
                 break
         else:
             return runs
