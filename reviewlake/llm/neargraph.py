@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewlake.llm.common import written
@@ -45,14 +45,22 @@ def _unit(values) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def _doubles() -> Column:
+    return F.transform("embedding", lambda x: x.cast("double"))
+
+
+def can_link() -> Column:
+    """Whether a row's vector can link: id, label and vector are there, and all components finite and not all zero. Never null."""
+    v = _doubles()
+    finite = F.forall(v, lambda x: F.coalesce((F.abs(x) < F.lit(math.inf)) & ~F.isnan(x), F.lit(False)))
+    there = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("embedding").isNotNull()
+    return F.coalesce(there & finite & F.exists(v, lambda x: x != 0), F.lit(False))
+
+
 def valid_vectors(table: DataFrame) -> DataFrame:
     """``vec_id, family, v`` of the vectors that can link; ``family`` is the label with the length."""
-    v = F.transform("embedding", lambda x: x.cast("double"))
-    finite = F.forall(v, lambda x: F.coalesce((F.abs(x) < F.lit(math.inf)) & ~F.isnan(x), F.lit(False)))
-    some = F.exists(v, lambda x: x != 0)
-    rows = table.where("vec_id IS NOT NULL AND embedding IS NOT NULL AND label IS NOT NULL").where(finite & some)
     family = F.concat_ws(":", F.col("label").cast("string"), F.size("embedding").cast("string"))
-    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), family.alias("family"), v.alias("v"))
+    return table.where(can_link()).select(F.col("vec_id").cast("long").alias("vec_id"), family.alias("family"), _doubles().alias("v"))
 
 
 def robust_prune(x: np.ndarray) -> list[np.ndarray]:
@@ -269,8 +277,7 @@ def near_duplicates(table: DataFrame, least: float = LEAST) -> DataFrame:
         "family", "v", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("label", "rep").alias("component_id")
     )
     linked = vectors.join(named, ["family", "v"]).select("vec_id", "n_links", "component_id")
-    own = table.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", "label")
-    alone = own.select("vec_id", F.monotonically_increasing_id().alias("row")).join(linked.select("vec_id").distinct(), "vec_id", "left_anti")
+    alone = table.where(~can_link()).select(F.col("vec_id").cast("long").alias("vec_id"))
     every = linked.union(alone.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
     return every.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 

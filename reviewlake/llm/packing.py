@@ -18,17 +18,18 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reviewlake.llm.common import batches_by_size, id_and_text, written
-from reviewlake.llm.pretokens import Recent, Splitter, by_library, load
+from reviewlake.llm.pretokens import Recent, Splitter, load, packed_ids
 
 WINDOW = 2048
+KNOWN = 150_000  # words whose ids a worker keeps, twice at most: some 60 MB
 
 
 @lru_cache(2)
 def _worker(path: str, end_id: int) -> tuple[type, Splitter, Recent]:
     """What a Python worker keeps from task to task."""
     tokenizer = load(path)
-    kind = np.uint16 if tokenizer.get_vocab_size() <= 65536 and end_id < 65536 else np.uint32
-    return kind, Splitter(tokenizer, False), Recent(by_library(tokenizer, lambda ids: np.array(ids, kind).tobytes()))
+    kind, code = (np.uint16, "H") if tokenizer.get_vocab_size() <= 65536 and end_id < 65536 else (np.uint32, "I")
+    return kind, Splitter(tokenizer, False), Recent(packed_ids(tokenizer, code), KNOWN)
 
 
 def _encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:

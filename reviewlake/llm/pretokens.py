@@ -8,9 +8,12 @@ changes them. Any other text is split by the tokenizer file's own rules.
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
+from array import array
 
+import tiktoken
 from tokenizers import Tokenizer
 
 _PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0x250)]
@@ -95,3 +98,32 @@ class Recent:
 def by_library(tokenizer: Tokenizer, of):
     """Values by the library's own encoding: ``of`` the ids of each word."""
     return lambda words: [of(e.ids) for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+
+def _byte_ranks(model: dict) -> dict[bytes, int] | None:
+    """Rank of each token, by its bytes, if the model is byte-level BPE whose ids rise with its merges; else None."""
+    plain = not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    if model["type"] != "BPE" or not plain:
+        return None
+    vocab = model["vocab"]
+    pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
+    merged = [(a + b, vocab.get(a + b, -1)) for a, b in pairs]
+    ids = [i for _, i in merged]
+    # printable bytes stand for themselves, the others for the characters from 256 on, in order
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    letters = {chr(b): b for b in printable} | {chr(256 + n): b for n, b in enumerate(b for b in range(256) if b not in set(printable))}
+    if not all(c in vocab for c in letters) or any(a >= b for a, b in zip(ids, ids[1:])) or ids and ids[0] <= max(vocab[c] for c in letters):
+        return None
+    return {bytes([b]): vocab[c] for c, b in letters.items()} | {bytes(letters[c] for c in w): i for w, i in merged}
+
+
+def packed_ids(tokenizer: Tokenizer, code: str):
+    """For lists of pre-tokens their ids as packed arrays of type ``code`` (of module array): by ranks of bytes where the file
+    allows it, which costs a few microseconds a word, by the library otherwise. Both give the same ids."""
+    told = json.loads(tokenizer.to_str())
+    ranks = _byte_ranks(told["model"]) if (told.get("pre_tokenizer") or {}).get("type") == "ByteLevel" else None
+    if ranks is None:
+        return by_library(tokenizer, lambda ids: array(code, ids).tobytes())
+    special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
+    piece = tiktoken.Encoding("pieces", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+    return lambda words: [array(code, [special[w]] if w in special else piece(w.encode())).tobytes() for w in words]

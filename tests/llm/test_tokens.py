@@ -84,3 +84,19 @@ def test_packing(spark, docs):
     assert covered.keys() == stream.keys()
     assert packing.pack(docs.where("false"), BYTES, 1).count() == 0
     assert packing.pack(docs, BYTES, 1).where("doc_id = 13").count() == 2
+
+
+def test_ids_by_ranks_are_the_library_s():
+    from reviewlake.llm import pretokens
+
+    library = pretokens.load(BYTES)
+    split = pretokens.Splitter(library, False)
+    rng = np.random.default_rng(11)
+    letters = list("abcdefghijklmnopqrstuvwxyzäöüßéèçñ  ABC0123456789.,!?-'\"()%$#&*中🙂\t\n")
+    words = sorted({w for _ in range(20_000) for w in split("".join(rng.choice(letters, rng.integers(1, 30))))}) + ["<|endoftext|>", "a" * 20_000]
+    plain = pretokens.by_library(library, lambda ids: np.array(ids, np.uint16).tobytes())(words[:-2])
+    packed = pretokens.packed_ids(library, "H")
+    assert packed.__module__ == "reviewlake.llm.pretokens" and packed(words[:-2]) == plain
+    assert np.frombuffer(packed(words[-2:-1])[0], "<u2").tolist() == [50256]
+    other = pretokens.load(WORDS)  # words that end in a mark: encoded by the library
+    assert pretokens.packed_ids(other, "H")(["hello"]) == [np.array(other.encode("hello", add_special_tokens=False).ids, np.uint16).tobytes()]

@@ -63,6 +63,13 @@ def test_graph_with_many_small_shards(spark, monkeypatch):
     check_graph(spark, monkeypatch, PER_CELL=20, SHARD=16)
 
 
+def test_rows_without_a_vector_keep_their_row_beside_one_of_the_same_id(spark):
+    one = [0.0, 1.0]
+    rows = [(1, one, 0), (1, None, 0), (2, one, 0), (2, [0.0, 0.0], 0), (3, None, None)]
+    found = neargraph.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in found) == [(1, 0, 1, True), (1, 1, 1, True), (2, 0, 2, True), (2, 1, 1, False), (3, 0, 3, True)]
+
+
 def test_graph_of_nothing(spark):
     assert neargraph.near_duplicates(table(spark, 220).where("false")).count() == 0
     assert neargraph.near_duplicates(table(spark, 220).where("vec_id = 902")).collect()[0]["n_links"] == 0
