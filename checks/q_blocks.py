@@ -9,6 +9,7 @@ from checks.bindings_sql import q, sql
 from checks.q_files import WS, text_files
 from checks.q_rules import _DEEPER, lines_sql
 from reviewlake.operators import blocks as K
+from reviewlake.operators import intervals as I
 from reviewlake.operators import metrics as M
 from reviewlake.operators import structure_rules as SR
 from reviewlake.operators import symbols as Y
@@ -305,3 +306,35 @@ def _(spark, sf):
     return found.unionByName(seen.select(
         F.lit(None).cast("bigint").alias("file_id"), F.lit(0).alias("line_number"), F.lit(0).alias("end_line"), "code_snippet"
     ))
+
+
+# extents of very different lengths, some beyond all places: stretches of part numbers that a supplier's lines span
+_SPAN = "(1 << (l_orderkey % 12)::int) - 1 + l_linenumber"
+
+
+@query("interval_join", f"""
+  with extents as (select l_suppkey as file_id, l_partkey % 3000 as start_line, l_partkey % 3000 + {_SPAN} as end_line from lineitem where l_orderkey % 7 = 0),
+  places as (select l_suppkey as file_id, l_orderkey % 5000 as line_number from lineitem)
+  select file_id, line_number, count(*) as extents, sum(end_line - start_line)::bigint as length
+  from places p join extents e using (file_id) where line_number between start_line and end_line group by 1, 2""")
+def _(spark, sf):
+    lines = B.table(spark, sf, "lineitem")
+    start = F.col("l_partkey") % 3000
+    span = F.pow(F.lit(2), F.col("l_orderkey") % 12).cast("bigint") - 1 + F.col("l_linenumber")
+    extents = lines.where("l_orderkey % 7 = 0").select(F.col("l_suppkey").alias("file_id"), start.alias("start_line"), (start + span).alias("end_line"))
+    places = lines.select(F.col("l_suppkey").alias("file_id"), (F.col("l_orderkey") % 5000).alias("line_number"))
+    return I.holding(places, extents, ["file_id"]).groupBy("file_id", "line_number").agg(
+        F.count("*").alias("extents"), F.sum(F.col("end_line") - F.col("start_line")).alias("length")
+    )
+
+
+@query("lines_in_functions", sql(["code_files"], f"""{lines_cte()}, {generic_sql(('rust', 'ruby', 'solidity'))}
+  select l.file_id, l.n::int as line_number, 1::bigint as held_by, g.name, g.start_line::int as start_line, g.end_line::int as end_line
+  from lines l join generic g on l.file_id = g.file_id and l.n between g.start_line and g.end_line where contains(l.line, '(')"""))
+def _(spark, sf):
+    from reviewlake.operators.lines import explode_lines
+
+    files = B.code_files(spark, sf)
+    extents = K.generic_functions(files).select("file_id", "name", "start_line", "end_line")
+    places = explode_lines(files).where(F.contains("content", F.lit("("))).select("file_id", "line_number")
+    return I.innermost(places, extents, ["file_id"])

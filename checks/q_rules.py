@@ -338,3 +338,25 @@ def _(spark, sf):
   where regexp_matches(regexp_replace(line, {q(_CODE_VIEW)}, '""', 'g'), {q(SR.SUM_SUBSCRIPT)})"""))
 def _(spark, sf):
     return SR.loop_subscript_findings(B.code_files(spark, sf)).select("file_id", "line_number", "code_snippet")
+
+
+# a table of rules made from benchmark texts: a word of each, some in patterns that must not be used
+_OWN = """select item_id, case when item_id % 5 = 0 then '(' || word when item_id % 5 = 1 then '(' || word || '+)+' else word end as pattern
+  from (select item_id, regexp_extract(text, '[a-z]{6,}', 0) as word from benchmark)"""
+
+
+@query("rules_of_a_table", f"""
+  with own as (select 'OWN' || item_id as rule_id, pattern from ({_OWN}) where item_id % 5 > 1 and pattern <> ''),
+  lines as (select doc_id as file_id, unnest(string_split(text, chr(10))) as line, unnest(range(1, len(string_split(text, chr(10))) + 1))::int as line_number
+    from documents where text is not null)
+  select file_id, rule_id, line_number, 'style' as category, 'suggestion' as severity, 'word' as message
+  from lines join own on contains(lower(line), pattern)""")
+def _(spark, sf):
+    from reviewlake.rules.table import rules_of
+
+    B.table(spark, sf, "benchmark").createOrReplaceTempView("benchmark_for_rules")
+    rules, _ = rules_of(spark.sql(f"""
+      select 'OWN' || item_id as id, 'style' as category, 'suggestion' as severity, pattern, 'word' as message, '' as suggestion,
+        cast(null as array<string>) as languages, 'i' as flags from ({_OWN.replace("from benchmark)", "from benchmark_for_rules)")})"""))
+    documents = B.table(spark, sf, "documents").select(F.col("doc_id").alias("file_id"), F.lit("text").alias("language"), F.col("text").alias("content"))
+    return scan_rules(documents, rules).select("file_id", "rule_id", "line_number", "category", "severity", "message")
