@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -12,6 +14,28 @@ from pyspark.sql import functions as F
 from reviewlake.session import materialize
 
 
+_KEPT: list = []
+
+
+def kept_in_worker(make: Callable) -> Callable:
+    """``make`` with its last result kept in a Python worker from task to task, until ``forget`` is called there."""
+    kept = lru_cache(1)(make)
+    _KEPT.append(kept)
+    return kept
+
+
+def forget() -> None:
+    """Called by tasks of other stages: what earlier stages kept in this worker goes, and its memory back to the system."""
+    some = [kept for kept in _KEPT if kept.cache_info().currsize]
+    for kept in some:
+        kept.cache_clear()
+    if some:
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except AttributeError:  # not this C library
+            pass
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

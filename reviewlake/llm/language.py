@@ -142,6 +142,7 @@ def predicted(text: Column, net: ByteNet | None) -> Column:
 
     @F.pandas_udf("lang string, score double")
     def predict(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        forget()
         for part in parts:
             texts = part.tolist()
             sums = np.zeros((len(texts), len(net.languages) if net else 1))
@@ -200,6 +201,6 @@ def keep_identified(docs: DataFrame, least: float = 0.3) -> DataFrame:
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from reviewlake.llm.common import table
+    from reviewlake.llm.common import forget, table
 
     return identify(table(spark, sf_dir, "documents"))

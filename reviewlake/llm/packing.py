@@ -9,7 +9,6 @@ the window on its own, without a shuffle of tokens. Only the last sequence can b
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,14 +16,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from reviewlake.llm.common import batches_by_size, id_and_text, written
+from reviewlake.llm.common import batches_by_size, forget, id_and_text, kept_in_worker, written
 from reviewlake.llm.pretokens import Recent, Splitter, load, packed_ids
 
 WINDOW = 2048
 KNOWN = 150_000  # words whose ids a worker keeps, twice at most: some 60 MB
 
 
-@lru_cache(2)
+@kept_in_worker
 def _worker(path: str, end_id: int) -> tuple[type, Splitter, Recent]:
     """What a Python worker keeps from task to task."""
     tokenizer = load(path)
@@ -76,6 +75,7 @@ def pack(docs: DataFrame, path: str, end_id: int, window: int = WINDOW) -> DataF
     )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()  # what the first pass kept in this worker
         names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
         for batch in batches_by_size(batches, 4, 1 << 20):
             out: list[tuple] = []

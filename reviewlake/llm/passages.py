@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from reviewlake.llm.common import batches_by_size, written
+from reviewlake.llm.common import batches_by_size, forget, written
 from reviewlake.llm.order_minhash import WordHashes, mixed
 
 K = 5
@@ -130,6 +130,7 @@ def compact_windows(texts: list[np.ndarray]) -> list[np.ndarray]:
 
 def _windows(docs: DataFrame) -> DataFrame:
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         hashes = WordHashes()
         for batch in batches_by_size(batches, 1, 2 << 20):
             key, text, *rest = compact_windows([hashes(t.split()) for t in batch.column(1).to_pylist()])
