@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reviewlake.llm.common import forget
+
 SIZE = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 8
@@ -201,6 +203,6 @@ def keep_identified(docs: DataFrame, least: float = 0.3) -> DataFrame:
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from reviewlake.llm.common import forget, table
+    from reviewlake.llm.common import table
 
     return identify(table(spark, sf_dir, "documents"))
