@@ -207,6 +207,25 @@ def test_texts_that_no_tuple_splits(spark, monkeypatch):
     assert label == {i: i for i in range(11)} | {20: 7}
 
 
+def test_classes_by_brute_force(spark):
+    """Unlike texts around one passage, with near copies among them, over more partitions than some buckets have rows."""
+    passage = words(80, 50)
+    texts = [passage + words(60 + i % 7, 900 + i) for i in range(40)]
+    texts += [changed(texts[i], range(85, 85 + 3 * i, 9)) for i in (3, 8, 13, 21)]
+    texts.append(changed(texts[40], [2, 120]))
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(7)
+    ids = {w: i for i, w in enumerate({w for t in texts for w in t})}
+    rows = [[ids[w] for w in t] for t in texts]
+    want = list(range(len(rows)))
+    for i, a in enumerate(rows):
+        for j in range(i):
+            b = rows[j]
+            if len(set(a) & set(b)) >= 0.75 * max(len(a), len(b)) and 1 - plain_edits(a, b) / max(len(a), len(b)) >= 0.8:
+                want = [want[j] if x == want[i] else x for x in want]
+    assert len(set(want)) == 40
+    assert {r.doc_id: r.class_id for r in order_minhash.near_duplicates(docs).collect()} == dict(enumerate(want))
+
+
 # ---- repeated passages ----------------------------------------------------------------------
 def test_compact_windows_by_brute_force():
     texts = [rng.integers(1, 2**63, n).astype(np.uint64) for n in (49, 50, 51, 200, 330)]
