@@ -7,13 +7,17 @@ derivation of them. ``bindings_sql`` states the same derivations for the SQL che
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks.snippets import SNIPPETS
 
 EXTENSIONS = (".py", ".js", ".ts", ".go", ".rs", ".java", ".rb", ".sol", ".css", "")
+FOLDERS = 256
 IGNORED = (r"mod1\d/", r"f\d*7\.", r"\.sol$")
 
 
@@ -288,3 +292,34 @@ def prose(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("file_id"), F.col("text").alias("content")
     )
+
+
+def write_text_tree(docs: DataFrame, folder: str) -> None:
+    """documents as a code tree: a text file for each id, its texts as lines, in ``FOLDERS`` folders whatever their number.
+
+    A folder for each file costs several file system calls in a row at the end of the job, and a task for its listing. A task
+    that runs again writes the same files again.
+    """
+
+    fs.FileSystem.from_uri(folder)[0].create_dir(fs.FileSystem.from_uri(folder)[1], recursive=True)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = fs.FileSystem.from_uri(folder)
+        made, name, out = set(), None, None
+        for batch in batches:
+            for below, own, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if own != name:
+                    if out:
+                        out.close()
+                    if below not in made:
+                        system.create_dir(f"{root}/{below}", recursive=True)
+                        made.add(below)
+                    name, out = own, system.open_output_stream(f"{root}/{below}/{own}.txt")
+                out.write((text or b"") + b"\n")
+        if out:
+            out.close()
+        yield from ()
+
+    own = F.coalesce(F.col("doc_id").cast("string"), F.lit("without-id"))
+    rows = docs.select(F.pmod(F.hash("doc_id"), F.lit(FOLDERS)).alias("below"), own.alias("name"), F.col("text").cast("binary").alias("text"))
+    rows.repartition(64, "below", "name").sortWithinPartitions("below", "name").mapInArrow(write, "none int").count()

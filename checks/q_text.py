@@ -424,10 +424,9 @@ def _(spark, sf):
 
 @query("read_code_tree", "select sum(length(text))::bigint as chars, count(*) as files from documents")
 def _(spark, sf):
-    """documents written as one text file per source folder and read back as whole files."""
+    """documents written as one text file each, over a fixed number of folders, and read back as whole files."""
     folder = run_folder(spark, "tree")
-    docs = B.table(spark, sf, "documents")
-    docs.select("text", "doc_id").repartition(8, "doc_id").write.partitionBy("doc_id").option("lineSep", "\n").text(folder)
+    B.write_text_tree(B.table(spark, sf, "documents"), folder)
     tree = PR.read_code_tree(spark, folder, "*.txt")
     return tree.agg(F.sum(F.length("content") - 1).alias("chars"), F.count("*").alias("files"))
 

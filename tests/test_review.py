@@ -188,3 +188,21 @@ def test_reply_forms(spark, name):
     rows = [r["p"] for r in df.select(parse_reply(F.col("reply")).alias("p")).collect()]
     assert [r["summary"] for r in rows] == [NO_REPLY, NO_REPLY, ("plain " * 200)[:500], "s", "t", "{broken", "[1]"]
     assert rows[3]["suggestions"] == ["a"] and json.dumps(rows[4]["suggestions"]) == "[]"
+
+
+def test_text_tree_has_a_file_for_each_id_in_few_folders(spark, tmp_path):
+    from checks import bindings as B
+    from reviewlake.sources import pull_requests as PR
+
+    rows = [(n, f"text {n}\nü") for n in range(700)] + [(3, "again"), (None, "x"), (None, None), (800, None), (801, "")]
+    folder = f"{tmp_path}/tree"
+    B.write_text_tree(spark.createDataFrame(rows, "doc_id long, text string"), folder)
+    assert len(list((tmp_path / "tree").iterdir())) <= B.FOLDERS
+    found = {r["filename"].rsplit("/", 1)[1]: r["content"] for r in PR.read_code_tree(spark, folder, "*.txt").collect()}
+    assert len(found) == 703
+    assert found["5.txt"] == "text 5\nü\n" and found["800.txt"] == found["801.txt"] == "\n"
+    assert sorted(found["3.txt"].splitlines()) == ["again", "text 3", "ü"]
+    assert sorted(found["without-id.txt"].split("\n")) == ["", "", "x"]
+    empty = f"{tmp_path}/empty"
+    B.write_text_tree(spark.createDataFrame([], "doc_id long, text string"), empty)
+    assert PR.read_code_tree(spark, empty, "*.txt").count() == 0
