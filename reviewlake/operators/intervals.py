@@ -2,7 +2,8 @@
 
 A join on ``start <= place <= end`` alone compares everything with everything of a key. Here extents are sorted into levels by
 their length: one of level ``L`` is at most ``2^L`` long and so touches at most two bins of that width. It is written to
-those, whatever its length, and a place looks into one bin of each level that the table has, of which there are at most 63.
+those, whatever its length, and a place looks into one bin of each level that the table has. Only every second level is used,
+of which there are at most 32: a place is shuffled once for each, which is most of the bytes of the join.
 So it is an equi-join on (key, level, bin), in which an extent has two rows at most and a place meets only extents
 that begin or end near it, near as measured by their own length. Bins of high levels, where one extent meets many
 places, are split: the extent is written once for each part, the places are dealt over the parts.
@@ -19,9 +20,10 @@ WHOLE = 12  # bins of up to 2^12 places are not split
 
 
 def _level(start: Column, end: Column) -> Column:
-    """The least level whose bins are as wide as the extent is long."""
+    """The least even level whose bins are as wide as the extent is long."""
     length = (end - start + 1).cast("long")
-    return F.when(length <= 1, 0).otherwise(F.length(F.conv((length - 1).cast("string"), 10, 2))).cast("int")
+    bits = F.when(length <= 1, 0).otherwise(F.length(F.conv((length - 1).cast("string"), 10, 2))).cast("int")
+    return (bits + bits % 2).cast("int")
 
 
 def _parts(level: Column) -> Column:
@@ -44,7 +46,7 @@ def holding(
     ends = [inner[start].cast("long"), inner[end].cast("long")]
     sized = extents.select(F.struct(*[F.col(f"`{c}`") for c in extents.columns]).alias("_e")).where(ends[0] <= ends[1])
     level = sized.withColumn("_level", _level(*ends))
-    # the levels that there are: at most 63 numbers
+    # the levels that there are: at most 32 numbers
     levels = sorted(r["_level"] for r in level.select("_level").distinct().collect())
     width = F.pow(F.lit(2), F.col("_level")).cast("long")
     bins = F.array_distinct(F.transform(F.array(*ends), lambda e: F.floor(e / width).cast("long")))

@@ -101,3 +101,11 @@ def test_first_characters_never_hide_a_match():
             if text.isascii():
                 assert [m.span() for m in re.finditer(both, text, flags)] == [m.span() for m in re.finditer(plain, text, flags)], rule.id
     assert used > 60
+
+
+def test_places_are_looked_up_in_every_second_level_only(spark):
+    lengths = sorted({max(1, 2**b + d) for b in range(41) for d in (-1, 0, 1)})
+    rows = spark.createDataFrame([(5, 5 + n - 1, n) for n in lengths], "s long, e long, n long")
+    levels = {r.n: r.level for r in rows.select("n", I._level(rows.s, rows.e).alias("level")).collect()}
+    assert all(n <= 2 ** levels[n] < max(2, 4 * n) for n in lengths)
+    assert len(set(levels.values())) <= 22
