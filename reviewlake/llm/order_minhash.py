@@ -9,7 +9,10 @@
   its bucket, with the first of each run that agrees with it in the next tuples too, and with the latest ``WINDOW`` other
   classes before it. The words of the rows come along, so that pairs are verified where they meet and only links are
   written. Order and window go over the borders of partitions, so that no bucket has to fit one task.
-  Texts that agree in all tuples, which no order tells apart, are compared in full.
+* What order and window pass over is then compared in full: of every bucket that still holds several classes, all pairs of
+  texts of different classes. Buckets are cut into blocks of ``BLOCK`` texts, two blocks meet in one task. The lengths and
+  the counts of words in ``SHAPE`` classes by hash give a bound on the edits from below that no pair passes by chance; the
+  pairs within it are verified. So every two texts of a bucket are of one class, or too different.
 * Pairs are verified by a banded alignment of words: similarity is 1 - edits / words of the longer text. The
   band is the edits still allowed, its diagonals run along equal stretches, and work ends at the threshold.
 
@@ -37,6 +40,8 @@ ORDERED = 2
 SKETCHES = 32
 DEPTH = 8
 WINDOW = 8
+BLOCK = 256
+SHAPE = 256
 SIMILARITY = 0.8
 _LEAST_WORDS = K + ORDERED - 1
 _ODD = (np.random.default_rng(5).integers(0, 2**63, SKETCHES, np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -317,6 +322,84 @@ def _root(joined: dict, label: int) -> int:
     return label
 
 
+def _shapes(words: DataFrame) -> DataFrame:
+    """``rep, shape``: how many words of the text have each of ``SHAPE`` values of their last hash bits, at most 255."""
+
+    def shaped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = [np.bincount(np.frombuffer(w, "<u4") % SHAPE, minlength=SHAPE) for w in batch.column(1).to_pylist()]
+            shapes = pa.array([np.minimum(c, 255).astype(np.uint8).tobytes() for c in counts], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), shapes], ["rep", "shape"])
+
+    return words.select("rep", "words").mapInArrow(shaped, "rep long, shape binary")
+
+
+def close_pairs(n: np.ndarray, label: np.ndarray, block: np.ndarray, shape: np.ndarray, least: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Places of the pairs of different labels that lengths and shapes do not rule out; with two blocks, pairs across them."""
+    out = []
+    across = block[0] != block[-1]
+    for i in range(len(n) - 1):
+        if across and block[i] != block[0]:
+            break
+        longer = np.maximum(n[i], n[i + 1 :])
+        most = ((1 - least) * longer + 1e-9).astype(np.int64)
+        fit = (np.abs(n[i + 1 :] - n[i]) <= most) & (label[i + 1 :] != label[i])
+        if across:
+            fit &= block[i + 1 :] != block[i]
+        j = np.flatnonzero(fit)
+        if not len(j):
+            continue
+        # one edit takes at most one word from the one side and gives one to the other
+        more = np.maximum(shape[i], shape[i + 1 + j])
+        lost = (more - shape[i + 1 + j]).sum(axis=1, dtype=np.int64)
+        gained = (more - shape[i]).sum(axis=1, dtype=np.int64)
+        j = j[np.maximum(lost, gained) <= most[j]]
+        if len(j):
+            out.append((np.full(len(j), i), i + 1 + j))
+    return out
+
+
+def _close(buckets: DataFrame, classes: DataFrame, words: DataFrame, least: float, parts: int) -> DataFrame:
+    """The pairs (``a, b``) of texts of a bucket (``key, rep, n``), of different classes, that are not too different at sight."""
+    labelled = buckets.join(classes.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    several = labelled.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("g"), F.count("*").alias("size")).where("l <> g")
+    rows = labelled.join(several.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "key")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    rows = rows.join(_shapes(words), "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "rep", "n", "label", "shape")
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            numbers = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(7)])
+            shape = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint8).reshape(-1, SHAPE)
+            if held is not None:
+                numbers, shape = np.concatenate([held[0], numbers]), np.concatenate([held[1], shape])
+            ends = np.flatnonzero((numbers[1:, :3] != numbers[:-1, :3]).any(axis=1)) + 1
+            begin = 0
+            found = []
+            for end in ends.tolist():
+                found += pairs(numbers[begin:end], shape[begin:end])
+                begin = end
+            held = numbers[begin:], shape[begin:]
+            yield table(found)
+        if held is not None and len(held[0]):
+            yield table(pairs(*held))
+
+    def pairs(numbers: np.ndarray, shape: np.ndarray) -> list[np.ndarray]:
+        if len(numbers) < 2:
+            return []
+        rep = numbers[:, 4]
+        return [np.column_stack([rep[i], rep[j]]) for i, j in close_pairs(numbers[:, 5], numbers[:, 6], numbers[:, 3], shape, least)]
+
+    def table(found: list[np.ndarray]) -> pa.RecordBatch:
+        both = np.concatenate(found) if found else np.empty((0, 2), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["a", "b"])
+
+    dealt = rows.repartition(parts, "key", "x", "y").sortWithinPartitions("key", "x", "y", "block")
+    return dealt.mapInArrow(compared, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """``doc_id, class_id, kept`` for every row of ``docs`` (``doc_id, text``; other columns are not looked at).
 
@@ -373,8 +456,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     sketch = reps.select("rep", "sketch")
     mixed_up = labelled.join(several, "key", "left_semi").join(sketch, "rep").where(F.xxhash64("t", F.element_at("sketch", F.col("t") + 1)) == F.col("key"))
     rest = F.slice(F.concat("sketch", "sketch"), F.col("t") + 2, DEPTH)
-    open_rows = written(mixed_up.select("key", rest.alias("rest"), "n", "rep", "label", F.xxhash64("sketch").alias("whole")), "omh-open")
-    ordered = open_rows.drop("whole").join(words, "rep").select("key", "rest", "n", "rep", "label", "words")
+    ordered = mixed_up.select("key", rest.alias("rest"), "n", "rep", "label").join(words, "rep").select("key", "rest", "n", "rep", "label", "words")
     ordered = written(ordered, "omh-rows").repartitionByRange(parts, "key", "rest", "n", "rep").sortWithinPartitions("key", "rest", "n", "rep")
     found = written(
         ordered.mapInArrow(_in_order(least), "border int, before boolean, key long, a long, b long, n long, label long, words binary"), "omh-order"
@@ -383,15 +465,17 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     after = beside.where("NOT before").select("border", "key", *(F.col(x).alias(y) for x, y in (("a", "b"), ("n", "m"), ("label", "other"), ("words", "wb"))))
     over = beside.where("before").drop("b").join(after, ["border", "key"]).where("label <> other AND a <> b").where(_fits(least, "n", "m"))
     over = _aligned(over.select("a", "b", F.col("words").alias("wa"), "wb"), least)
-    alike = open_rows.select("rep", "n", "label", "whole").distinct()
-    alike = alike.join(alike.groupBy("whole").agg(F.count("*").alias("size")).where(F.col("size") > WINDOW).select("whole"), "whole", "left_semi")
-    other = alike.select("whole", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"))
-    full_pairs = alike.join(other, "whole").where("rep < b AND label <> other").where(_fits(least, "n", "m")).select(F.col("rep").alias("a"), "b")
-    met = over.union(_verified(untried(full_pairs, tried), words, least)).where(F.col("similarity") >= least)
+    met = over.where(F.col("similarity") >= least)
     new = written(found.where("border IS NULL").select("a", "b").union(met.select("a", "b")), "omh-links")
     links = links.union(new)
     classes = joined_components(classes, new)
 
+    # last all pairs of different classes that share a bucket, as far as their words may allow the similarity
+    close = written(_close(buckets.select("key", "rep", "n"), classes, words, least, parts), "omh-close")
+    new = written(_verified(untried(close, tried), words, least).where(F.col("similarity") >= least).select("a", "b"), "omh-links")
+    links = links.union(new)
+    classes = joined_components(classes, new)
+
     # copies of a text take the class of the text; texts of one id are one document
     known = sketched.select("doc_id", "digest").join(reps.select("digest", "rep"), "digest")
     joined = known.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))

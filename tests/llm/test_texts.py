@@ -1,5 +1,7 @@
 """Language, licences, preference formatting, near copies and repeated passages on small cases."""
 
+import random
+
 import numpy as np
 import pytest
 
@@ -329,3 +331,31 @@ def test_planted_passages_are_found(spark):
         found[x.doc_id] = found.get(x.doc_id, 0) + x.end_word - x.start_word
     assert len(found) >= 0.95 * len(planted)
     assert sum(found.values()) >= 0.93 * sum(b - a for a, b, _ in planted.values())
+
+
+def test_every_similar_pair_of_a_bucket_with_many_classes_is_found(spark):
+    """Half of each text is the same in all: they share buckets by it, and order in them says nothing of the own halves."""
+    rng = random.Random(3)
+    common = [f"c{i}" for i in range(100)]
+    rows = []
+    for family in range(60):
+        own = [f"w{rng.randrange(10**9)}" for _ in range(100)]
+        other = list(own)
+        for at in rng.sample(range(100), 36):
+            other[at] = f"w{rng.randrange(10**9)}"
+        rows += [(family, " ".join(common + own)), (100 + family, " ".join(common + other))]
+    found = {r.doc_id: r.class_id for r in order_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {n: n % 100 for n, _ in rows}
+
+
+def test_close_pairs_leave_out_no_similar_pair():
+    rng = np.random.default_rng(4)
+    texts = [rng.integers(0, 60, rng.integers(1, 40)).astype("<u4") for _ in range(60)]
+    texts += [np.where(rng.random(len(t)) < 0.1, 61, t).astype("<u4") for t in texts] + [np.zeros(300, "<u4"), np.zeros(350, "<u4")]
+    shape = np.array([np.minimum(np.bincount(t % order_minhash.SHAPE, minlength=order_minhash.SHAPE), 255) for t in texts]).astype(np.uint8)
+    n, label = np.array([len(t) for t in texts]), np.arange(len(texts)) % 50
+    similar = {(i, j) for i in range(len(n)) for j in range(i) if label[i] != label[j] and order_minhash.similarity(texts[i], texts[j], 0.8) >= 0.8}
+    for block in (np.zeros(len(n), int), (np.arange(len(n)) >= 70).astype(int)):
+        found = {(max(i, j), min(i, j)) for x, y in order_minhash.close_pairs(n, label, block, shape, 0.8) for i, j in zip(x.tolist(), y.tolist(), strict=True)}
+        assert found >= {(i, j) for i, j in similar if block[0] == block[-1] or block[i] != block[j]}
+        assert all(label[i] != label[j] for i, j in found)
