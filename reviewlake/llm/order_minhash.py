@@ -11,8 +11,8 @@
   written. Order and window go over the borders of partitions, so that no bucket has to fit one task.
 * What order and window pass over is then compared in full: of every bucket that still holds several classes, all pairs of
   texts of different classes. Buckets are cut into blocks of ``BLOCK`` texts, two blocks meet in one task. The lengths and
-  the counts of words in ``SHAPE`` classes by hash give a bound on the edits from below that no pair passes by chance; the
-  pairs within it are verified. So every two texts of a bucket are of one class, or too different.
+  the counts of words in ``SHAPE`` classes by hash give a bound on the edits from below; pairs within it are verified
+  there and then, in the first bucket they share, and only links are written. So every two texts of a bucket are of one class, or too different.
 * Pairs are verified by a banded alignment of words: similarity is 1 - edits / words of the longer text. The
   band is the edits still allowed, its diagonals run along equal stretches, and work ends at the threshold.
 
@@ -43,6 +43,7 @@ WINDOW = 8
 BLOCK = 256
 SHAPE = 256
 SIMILARITY = 0.8
+_BLOCK_WORDS = 2 << 20
 _LEAST_WORDS = K + ORDERED - 1
 _ODD = (np.random.default_rng(5).integers(0, 2**63, SKETCHES, np.uint64) << np.uint64(1)) | np.uint64(1)
 
@@ -322,16 +323,9 @@ def _root(joined: dict, label: int) -> int:
     return label
 
 
-def _shapes(words: DataFrame) -> DataFrame:
-    """``rep, shape``: how many words of the text have each of ``SHAPE`` values of their last hash bits, at most 255."""
-
-    def shaped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts = [np.bincount(np.frombuffer(w, "<u4") % SHAPE, minlength=SHAPE) for w in batch.column(1).to_pylist()]
-            shapes = pa.array([np.minimum(c, 255).astype(np.uint8).tobytes() for c in counts], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), shapes], ["rep", "shape"])
-
-    return words.select("rep", "words").mapInArrow(shaped, "rep long, shape binary")
+def _shape(words: np.ndarray) -> np.ndarray:
+    """How many words have each of ``SHAPE`` values of their last hash bits, at most 255."""
+    return np.minimum(np.bincount(words % SHAPE, minlength=SHAPE), 255).astype(np.uint8)
 
 
 def close_pairs(n: np.ndarray, label: np.ndarray, block: np.ndarray, shape: np.ndarray, least: float) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -359,42 +353,48 @@ def close_pairs(n: np.ndarray, label: np.ndarray, block: np.ndarray, shape: np.n
     return out
 
 
-def _close(buckets: DataFrame, classes: DataFrame, words: DataFrame, least: float, parts: int) -> DataFrame:
-    """The pairs (``a, b``) of texts of a bucket (``key, rep, n``), of different classes, that are not too different at sight."""
+def _rest(buckets: DataFrame, classes: DataFrame, reps: DataFrame, words: DataFrame, least: float, parts: int) -> DataFrame:
+    """The links (``a, b``) among all pairs of texts of a bucket (``key, t, rep, n``) that are of different classes.
+
+    A pair is looked at in the first of its buckets only. Classes that a link joins count as one from there on.
+    """
     labelled = buckets.join(classes.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    several = labelled.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("g"), F.count("*").alias("size")).where("l <> g")
-    rows = labelled.join(several.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "key")
+    several = labelled.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("g"), F.count("*").alias("size"), F.sum("n").alias("total"))
+    blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("total") / _BLOCK_WORDS)).cast("int")
+    rows = labelled.join(several.where("l <> g").select("key", F.least(blocks, F.col("size").cast("int")).alias("blocks")), "key")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    rows = rows.join(_shapes(words), "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "rep", "n", "label", "shape")
+    rows = rows.join(reps.select("rep", "sketch"), "rep").join(words, "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "t", "block", "rep", "n", "label", "sketch", "words")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        cell, held = None, []
         for batch in batches:
-            numbers = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(7)])
-            shape = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint8).reshape(-1, SHAPE)
-            if held is not None:
-                numbers, shape = np.concatenate([held[0], numbers]), np.concatenate([held[1], shape])
-            ends = np.flatnonzero((numbers[1:, :3] != numbers[:-1, :3]).any(axis=1)) + 1
-            begin = 0
             found = []
-            for end in ends.tolist():
-                found += pairs(numbers[begin:end], shape[begin:end])
-                begin = end
-            held = numbers[begin:], shape[begin:]
+            for row in zip(*(batch.column(i).to_pylist() for i in range(10)), strict=True):
+                if row[:3] != cell:
+                    found += links(held)
+                    cell, held = row[:3], []
+                held.append(row[3:])
             yield table(found)
-        if held is not None and len(held[0]):
-            yield table(pairs(*held))
+        yield table(links(held))
 
-    def pairs(numbers: np.ndarray, shape: np.ndarray) -> list[np.ndarray]:
-        if len(numbers) < 2:
+    def links(held: list[tuple]) -> list[tuple[int, int]]:
+        if len({row[4] for row in held}) < 2:
             return []
-        rep = numbers[:, 4]
-        return [np.column_stack([rep[i], rep[j]]) for i, j in close_pairs(numbers[:, 5], numbers[:, 6], numbers[:, 3], shape, least)]
-
-    def table(found: list[np.ndarray]) -> pa.RecordBatch:
-        both = np.concatenate(found) if found else np.empty((0, 2), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["a", "b"])
+        t, block, rep, n, label, sketch, text = zip(*held, strict=True)
+        sketch, words = np.array(sketch), [np.frombuffer(w, "<u4") for w in text]
+        out, joined = [], {}
+        for i, j in close_pairs(np.array(n), np.array(label), np.array(block), np.array([_shape(w) for w in words]), least):
+            first = (sketch[i] == sketch[j]).argmax(axis=1) == t[0]
+            for p, q in zip(i[first].tolist(), j[first].tolist(), strict=True):
+                here, there = _root(joined, label[p]), _root(joined, label[q])
+                if here != there and similarity(words[p], words[q], least) >= least:
+                    joined[here] = there
+                    out.append((rep[p], rep[q]))
+        return out
+
+    def table(found: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.int64()) for c in (0, 1)], ["a", "b"])
 
     dealt = rows.repartition(parts, "key", "x", "y").sortWithinPartitions("key", "x", "y", "block")
     return dealt.mapInArrow(compared, "a long, b long")
@@ -471,8 +471,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     classes = joined_components(classes, new)
 
     # last all pairs of different classes that share a bucket, as far as their words may allow the similarity
-    close = written(_close(buckets.select("key", "rep", "n"), classes, words, least, parts), "omh-close")
-    new = written(_verified(untried(close, tried), words, least).where(F.col("similarity") >= least).select("a", "b"), "omh-links")
+    new = written(_rest(buckets.select("key", "t", "rep", "n"), classes, reps, words, least, parts), "omh-links")
     links = links.union(new)
     classes = joined_components(classes, new)
 

@@ -352,7 +352,7 @@ def test_close_pairs_leave_out_no_similar_pair():
     rng = np.random.default_rng(4)
     texts = [rng.integers(0, 60, rng.integers(1, 40)).astype("<u4") for _ in range(60)]
     texts += [np.where(rng.random(len(t)) < 0.1, 61, t).astype("<u4") for t in texts] + [np.zeros(300, "<u4"), np.zeros(350, "<u4")]
-    shape = np.array([np.minimum(np.bincount(t % order_minhash.SHAPE, minlength=order_minhash.SHAPE), 255) for t in texts]).astype(np.uint8)
+    shape = np.array([order_minhash._shape(t) for t in texts])
     n, label = np.array([len(t) for t in texts]), np.arange(len(texts)) % 50
     similar = {(i, j) for i in range(len(n)) for j in range(i) if label[i] != label[j] and order_minhash.similarity(texts[i], texts[j], 0.8) >= 0.8}
     for block in (np.zeros(len(n), int), (np.arange(len(n)) >= 70).astype(int)):
