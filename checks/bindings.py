@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks.snippets import SNIPPETS
+from reviewlake.session import materialize
 
 EXTENSIONS = (".py", ".js", ".ts", ".go", ".rs", ".java", ".rb", ".sol", ".css", "")
 FOLDERS = 256
@@ -39,25 +40,31 @@ def snippet_lines(lineitem: DataFrame, levels: int) -> DataFrame:
     return lineitem.select("*", code.alias("code"))
 
 
-def _sizes(lines: DataFrame, key: str, text: str) -> DataFrame:
-    return lines.groupBy(key).agg(
+def _size_columns(text: str) -> list[Column]:
+    return [
         (F.sum(F.octet_length(text) + 1) - 1).alias("content_bytes"),
         F.count_if(F.col("l_returnflag") == "A").alias("additions"),
         F.count_if(F.col("l_returnflag") == "R").alias("deletions"),
+    ]
+
+
+def _sizes(lines: DataFrame, key: str, text: str) -> DataFrame:
+    return lines.groupBy(key).agg(*_size_columns(text))
+
+
+def _joined_column(order: list[str], text: str) -> Column:
+    return F.array_join(
+        F.transform(
+            F.sort_array(F.collect_list(F.struct(*order, F.col(text).alias("_text")))),
+            lambda s: s["_text"],
+        ),
+        "\n",
     )
 
 
 def _joined(lines: DataFrame, key: str, order: list[str], text: str, alias: str) -> DataFrame:
     """Lines of one key joined in order: a file is one row, whatever its size."""
-    return lines.groupBy(key).agg(
-        F.array_join(
-            F.transform(
-                F.sort_array(F.collect_list(F.struct(*order, F.col(text).alias("_text")))),
-                lambda s: s["_text"],
-            ),
-            "\n",
-        ).alias(alias)
-    )
+    return lines.groupBy(key).agg(_joined_column(order, text).alias(alias))
 
 
 def file_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,8 +88,7 @@ def pr_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = snippet_lines(table(spark, sf_dir, "lineitem"), 3)
     order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
     lines = lines.select("l_orderkey", *order, "l_returnflag", "code")
-    content = _joined(lines, "l_orderkey", order, "code", "content")
-    both = _sizes(lines, "l_orderkey", "code").join(content, "l_orderkey", "left")
+    both = lines.groupBy("l_orderkey").agg(*_size_columns("code"), _joined_column(order, "code").alias("content"))
     return file_headers(spark, sf_dir).join(both, F.col("file_id") == F.col("l_orderkey"), "left").select(
         "file_id", "review_id", "filename", "status",
         F.coalesce("additions", F.lit(0)).alias("additions"),
@@ -92,6 +98,12 @@ def pr_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def put_together(files: DataFrame) -> DataFrame:
+    """The same files, with their texts put together once: a review reads them for lines, blocks, repeats and headers,
+    and each of these would join them anew. Dealt by file, as a text costs much more than its bytes to read."""
+    return materialize(files, "files").repartition("file_id")
+
+
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long files: all snippets of one supplier."""
     lines = snippet_lines(table(spark, sf_dir, "lineitem"), 5)

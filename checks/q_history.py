@@ -429,7 +429,7 @@ def _(spark, sf):
 @query("review_all_rules")
 def _(spark, sf):
     """Everything switched on, over the whole corpus: findings per rule."""
-    return review_files(B.pr_files(spark, sf)).findings.groupBy("category", "rule_id", "severity").agg(
+    return review_files(B.put_together(B.pr_files(spark, sf))).findings.groupBy("category", "rule_id", "severity").agg(
         F.count("*").alias("findings"), F.count_distinct("file_id").alias("files")
     )
 

@@ -5,6 +5,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+from checks import bindings as B
 from reviewlake.sources import tables as T
 
 
@@ -40,3 +41,20 @@ def test_stored_rows_do_not_depend_on_the_number_of_buckets(spark, tmp_path):
         assert Counter(map(tuple, stored.collect())) == want
         assert T.read_review_table(spark, folder, "file_reviews").count() == 41
         assert T.read_review_table(spark, folder, "reviews").count() == 7
+
+
+def _rows(df):
+    return sorted(map(str, df.collect()))
+
+
+def test_files_are_put_together_in_one_pass_and_once(spark, sf):
+    files = B.pr_files(spark, sf)
+    # sizes and texts come from one scan of the lines
+    assert len(re.findall(r"Relation \[.*l_orderkey", files._jdf.queryExecution().optimizedPlan().toString())) == 1
+    lines = B.snippet_lines(B.table(spark, sf, "lineitem"), 3)
+    sizes = B._sizes(lines, "l_orderkey", "code").withColumnRenamed("l_orderkey", "file_id")
+    want = sizes.join(files.select("file_id"), "file_id").select("file_id", "content_bytes", "additions", "deletions")
+    assert _rows(files.join(sizes.select("file_id"), "file_id", "left_semi").select(*want.columns)) == _rows(want)
+    together = B.put_together(files)
+    assert "lineitem" not in together._jdf.queryExecution().analyzed().toString()
+    assert _rows(together) == _rows(files)
