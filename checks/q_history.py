@@ -11,7 +11,7 @@ from checks.q_rules import NO_SQL, rule_sql
 from reviewlake.operators import aggregates as A
 from reviewlake.operators import findings as FI
 from reviewlake.operators import history as H
-from reviewlake.plans.review import ReviewOptions, review_files
+from reviewlake.plans.review import ReviewOptions, files_with_text, review_files
 from reviewlake.rules.model import BLOCK_RULES, pattern_rules
 from reviewlake.session import materialize
 from reviewlake.sources.settings import read_settings
@@ -440,6 +440,6 @@ def _(spark, sf):
     files = B.file_headers(spark, sf).join(B.patches(spark, sf), "file_id", "left").select(
         "*", F.lit(1).alias("additions"), F.lit(0).alias("deletions")
     )
-    return review_files(files).files.groupBy("language").agg(
+    return review_files(B.put_together(files_with_text(files))).files.groupBy("language").agg(
         F.count("*").alias("files"), F.sum("findings_count").alias("findings"), F.avg("score").alias("score")
     )

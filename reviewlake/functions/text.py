@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 # line breaks of the source text model (wider than "\n")
 LINE_BREAKS = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\u0085\\u2028\\u2029]"
 PLAIN_LINE_BREAK = "\n"
+OTHER_LINE_BREAKS = "[\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\u0085\\u2028\\u2029]"
 
 
 WHITE_SPACE = (
@@ -48,7 +49,7 @@ def fold(text: Column) -> Column:
 def split_lines(text: Column) -> Column:
     """Lines without their breaks; a final break does not open another line."""
     body = F.regexp_replace(text, f"(?:{LINE_BREAKS})\\z", "")
-    simple = ~text.rlike("[\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\u0085\\u2028\\u2029]")
+    simple = ~text.rlike(OTHER_LINE_BREAKS)
     return F.when(F.length(text) == 0, F.array().cast("array<string>")).otherwise(
         F.when(simple, F.split(F.regexp_replace(text, "\\n\\z", ""), "\n", -1)).otherwise(
             F.split(body, LINE_BREAKS, -1)

@@ -26,8 +26,13 @@ from reviewlake.rules.model import (
     beginning,
     pattern_rules,
     required_literals,
+    required_size,
 )
 
+MOST_DIGITS = 3  # longer runs of digits are not told apart
+MOST_SPELLED = 256  # rules whose tests are expressions of the plan
+SHORT = 20  # nearly any text has as many characters
+RARE_FIRST = "zqjx@$%`~^\\&|?!#<>{}[]+*;:kvw'\"=()y-/,b_gm.pdfhculnorsaitte \t"  # characters of code, roughly by how few texts hold them
 ORDINAL_STEP = 2**32  # a line number is an int, so ordinals of different rules never meet
 
 _RULE_TYPE = (
@@ -64,6 +69,14 @@ def cheapest_first(needs: Sequence[Sequence[str]]) -> list[list[str]]:
     return sorted(least, key=lambda one_of: (min(map(len, one_of)) < 2, len(one_of)))
 
 
+def digit_run(content: Column, ascii_: Column) -> Column:
+    """The longest run of digits, up to ``MOST_DIGITS``; texts with other characters may hold other digits, so they count as having it."""
+    run = F.when(~ascii_, MOST_DIGITS)
+    for n in range(MOST_DIGITS, 0, -1):
+        run = run.when(content.rlike(f"[0-9]{{{n}}}"), n)
+    return run.otherwise(0)
+
+
 def rules_literal(rules: Sequence[Rule]) -> Column:
     """The rules as one constant array, folded by the optimizer."""
     rows = [
@@ -79,18 +92,83 @@ def rules_literal(rules: Sequence[Rule]) -> Column:
     return F.from_json(F.lit(json.dumps(rows)), _RULE_TYPE)
 
 
-def _candidates(rules: Sequence[Rule], table: Column) -> Column:
-    """Numbers (from 1) of the rules worth trying on a file.
+_NONE = "cast(array() as array<int>)"
+
+
+def _quoted(text: str) -> str:
+    """A text as SQL that no setting of the parser changes; folded by the optimizer."""
+    return f"cast(X'{text.encode().hex()}' as string)"
+
+
+def _holds(literal: str) -> str:
+    return f"contains(folded, {_quoted(literal)})"
+
+
+def _try(number: int, rule: Rule) -> str:
+    """The number of a rule if a text is worth trying, as SQL, the cheapest tests first."""
+    width, digits = (0, 0) if rule.view == "code" else required_size(rule.pattern)  # the code view is another text than the one tested
+    tests = [f"digits >= {min(digits, MOST_DIGITS)}"] if digits else []
+    tests += [f"chars >= {min(width, 2**31 - 1)}"] if width > SHORT else []
+    tests += ["(" + " or ".join(map(_holds, one_of)) + ")" for one_of in cheapest_first(required_literals(rule.pattern))]
+    tests += [f"rlike(content, {_quoted(rule.precheck)})"] if rule.precheck else []
+    return f"if({' and '.join(tests)}, {number}, null)" if tests else str(number)
+
+
+def _gate(rule: Rule) -> str:
+    """The rarest character that every match holds in any case, empty if none is known."""
+    needs = required_literals(rule.pattern)
+    held = set().union(*[set.intersection(*map(set, one_of)) for one_of in needs])
+    return min(held, key=lambda c: (RARE_FIRST.find(c), c), default="") if held else ""
+
 
-    A rule is one if it applies to the language and the case-folded text holds a literal of each
-    set its pattern needs. The rules are data in the plan and not expressions, so the plan stays
-    small however many there are.
+def _tried(rules: Sequence[tuple[int, Rule]]) -> str:
+    """Numbers of the rules worth trying and nulls as SQL; rules that need the same rare character are passed over by one test."""
+    by_gate: dict[str, list[tuple[int, Rule]]] = {}
+    for n, rule in rules:
+        by_gate.setdefault(_gate(rule), []).append((n, rule))
+    groups = []
+    for gate, group in by_gate.items():
+        tries = f"array({', '.join(_try(n, rule) for n, rule in group)})"
+        groups.append(f"if({_holds(gate)}, {tries}, {_NONE})" if gate and len(group) > 1 else tries)
+    return f"flatten(array({', '.join(groups)}))" if groups else _NONE
+
+
+def _spelled(rules: Sequence[tuple[int, Rule]]) -> Column:
+    languages = sorted({x for _, r in rules for x in r.languages if x != "*"})
+    own = "".join(
+        f" when {_quoted(name)} then {_tried([(n, r) for n, r in rules if '*' not in r.languages and name in r.languages])}"
+        for name in languages
+    )
+    common = _tried([(n, r) for n, r in rules if "*" in r.languages])
+    return F.expr(f"concat({common}, case language{own} else {_NONE} end)" if own else common)
+
+
+def with_candidates(prepared: DataFrame, rules: Sequence[Rule], table: Column) -> DataFrame:
+    """A row for each file and rule worth trying on it, with the number of the rule (from 1).
+
+    A rule is one if it applies to the language, the text is as long and holds as many digits in a row
+    as a match, and the case-folded text holds a literal of each set its pattern needs. The first rules
+    are spelled out, as a test costs several times more where it is looked up than in generated code; further ones
+    are data in the plan and not expressions, so the plan stays small however many there are.
     """
-    languages = sorted({x for r in rules for x in r.languages if x != "*"})
-    by_language = {
-        name: [n for n, r in enumerate(rules, 1) if r.applies_to(name)] for name in languages
-    }
-    common = [n for n, r in enumerate(rules, 1) if "*" in r.languages]
+    numbered = list(enumerate(rules, 1))
+    spelled, further = numbered[:MOST_SPELLED], numbered[MOST_SPELLED:]
+    columns = [c for c in prepared.columns if c != "code"]
+    tried = prepared.select(
+        *columns, _spelled(spelled).alias("tried"),
+        # a lambda keeps this projection out of the one method of its stage, which would be too long to be compiled to machine code
+        F.get(F.transform(F.array("code"), lambda code: code), 0).alias("code"),
+    )
+    numbers = F.filter("tried", lambda n: n.isNotNull())
+    if further:
+        numbers = F.concat(numbers, _looked_up(further, table))
+    return tried.select("*", F.explode(numbers).alias("rule_no")).drop("folded", "chars", "digits", "tried")
+
+
+def _looked_up(numbered: Sequence[tuple[int, Rule]], table: Column) -> Column:
+    languages = sorted({x for _, r in numbered for x in r.languages if x != "*"})
+    by_language = {name: [n for n, r in numbered if r.applies_to(name)] for name in languages}
+    common = [n for n, r in numbered if "*" in r.languages]
     numbers = F.coalesce(
         F.try_element_at(F.from_json(F.lit(json.dumps(by_language)), "map<string,array<int>>"), F.col("language")),
         F.from_json(F.lit(json.dumps(common)), "array<int>"),
@@ -130,15 +208,14 @@ def scan_rules(
         *keep, "language", "content",
         X.fold(F.col("content")).alias("folded"),
         X.is_ascii(F.col("content")).alias("ascii"),
+        F.length("content").alias("chars"),
+        digit_run(F.col("content"), X.is_ascii(F.col("content"))).alias("digits"),
         (
             F.when(F.col("language") == "python", code_view(F.col("content")))
             if needs_code else F.lit(None).cast("string")
         ).alias("code"),
     )
-    candidates = prepared.select(
-        *keep, "language", "content", "code", "ascii",
-        F.explode(_candidates(rules, table)).alias("rule_no"),
-    )
+    candidates = with_candidates(prepared, rules, table)
 
     ruled = candidates.withColumn("rule", F.element_at(table, F.col("rule_no")))
     code_rule = F.col("rule.view") == "code"

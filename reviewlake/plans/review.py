@@ -79,6 +79,12 @@ def select_files(files: DataFrame, ignore: DataFrame | None = None) -> DataFrame
     return supported_only(with_language(chosen))
 
 
+def files_with_text(files: DataFrame, ignore: DataFrame | None = None) -> DataFrame:
+    """The files that take part, with the text to analyse in place of the patch: what ``review_files`` reads from them stays the
+    same. Written once, each reader of the review has its text without extracting it anew."""
+    return with_text(select_files(files, ignore)).drop("patch")
+
+
 def review_files(
     files: DataFrame, options: ReviewOptions | None = None, ignore: DataFrame | None = None
 ) -> ReviewResult:

@@ -369,6 +369,40 @@ def required_literals(pattern: str, sets: int = 3) -> tuple[tuple[str, ...], ...
     return tuple(dict.fromkeys(tuple(s) for s in _best([list(s) for s in lowered], sets)))
 
 
+def _digit_run(tree) -> int:
+    """Digits in a row that a text must hold for ``tree`` to match."""
+    most = 0
+    for op, arg in tree:
+        name = str(op)
+        run = 0
+        if name == "IN":
+            run = int(all((str(kind), str(value)) == ("CATEGORY", "CATEGORY_DIGIT") for kind, value in arg))
+        elif name == "SUBPATTERN":
+            run = _digit_run(arg[3])
+        elif name == "ATOMIC_GROUP":
+            run = _digit_run(arg)
+        elif name == "ASSERT":
+            run = _digit_run(arg[1])
+        elif name == "BRANCH":
+            run = min(map(_digit_run, arg[1]))
+        elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT") and arg[0] > 0:
+            run = _digit_run(arg[2])
+            if run and len(arg[2]) == 1 and str(arg[2][0][0]) == "IN":
+                run = arg[0]
+        most = max(most, run)
+    return most
+
+
+@lru_cache(maxsize=None)
+def required_size(pattern: str) -> tuple[int, int]:
+    """Characters that every match has at least, and digits in a row that every matching text holds (0: unknown)."""
+    try:
+        tree = _regex_parser.parse(pattern.replace(r"\z", r"\Z"), re.MULTILINE)
+    except re.error:
+        return 0, 0
+    return tree.getwidth()[0], _digit_run(tree)
+
+
 # ---- characters a match can begin with ------------------------------------------------------
 _CLASSES = {"CATEGORY_DIGIT": r"\d", "CATEGORY_SPACE": r"\s", "CATEGORY_WORD": r"\w"}
 

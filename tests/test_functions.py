@@ -3,6 +3,8 @@
 import hashlib
 import hmac
 import pathlib
+import random
+import re
 
 import pytest
 from hypothesis import given, settings
@@ -101,3 +103,20 @@ def test_checkpoint_folder_comes_from_the_session():
     session = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: {"spark.checkpoint.dir": "/shared/x/"}[key]))
     assert run_folder(session, "run").startswith("/shared/x/run-")
     assert run_folder(session, "run") != run_folder(session, "run")
+
+
+def test_patches_in_one_pass_are_those_by_lines(spark):
+    rng = random.Random(3)
+    parts = ["+", "-", "@@", "+++", "++", " ", "   ", "\t", "x", "\u00e9", "\\", "$1", "\n", "\n", "\n\n", "\r\n", "\u2028"]
+    texts = ["".join(rng.choices(parts[: rng.choice((15, 17))], k=rng.randrange(0, 14))) for _ in range(1500)]
+
+    def by_lines(text):
+        lines = re.split("\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]", re.sub("(?:\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029])\\Z", "", text))
+        kept = [l for l in lines if not l.startswith(("-", "+++", "@@"))]
+        return "\n".join(l[1:] if l.startswith("+") else l.lstrip(" ") for l in kept)
+
+    assert column(spark, [*texts, None], P.patch_content) == [*map(by_lines, texts), None]
+    many = "-gone\n" * 50_000 + "+kept\n" * 50_000  # no stack is used
+    assert column(spark, [many], P.patch_content) == ["\n".join(["kept"] * 50_000)]
+    plain = spark.createDataFrame([("+a",)], "patch string").select(P.patch_content(F.col("patch")))
+    assert "(?:\\n(?:-|" in plain._jdf.queryExecution().analyzed().toString()

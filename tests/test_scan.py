@@ -3,10 +3,13 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from checks.snippets import SNIPPETS
-from reviewlake.operators.scan import CODE_VIEW, cheapest_first, scan_rules
+from reviewlake.operators import scan
+from reviewlake.operators.scan import CODE_VIEW, cheapest_first, digit_run, rules_literal, scan_rules, with_candidates
 from reviewlake.rules import catalog as C
-from reviewlake.rules.model import BLOCK_RULES, Rule, pattern_rules, required_literals
+from reviewlake.rules.model import BLOCK_RULES, Rule, pattern_rules, required_literals, required_size
 
 FLAGS = {"m": re.M, "i": re.I, "s": re.S}
 
@@ -167,3 +170,45 @@ def test_literal_tests_are_fewer_and_decide_the_same():
         assert sorted(map(sorted, new)) == sorted(sorted(x for x in s if all(y == x or y not in x for y in s)) for s in old)
         fewer += sum(map(len, old)) - sum(map(len, new))
     assert fewer > 0
+
+
+def test_size_that_a_match_needs():
+    assert required_size(r"^[^\r\n]{121,}") == (121, 0)
+    assert required_size(r"(?<!\w)(?=\d{3,}\b)0*(\d+)") == (1, 3)
+    assert required_size(r"a(?:\d{4}|\d\d)?(?:[0-9x]{9}|\d{2})") == (3, 0)
+    assert required_size(r"(?:\d{4}-|v\d+)x*") == (2, 1)
+    assert required_size(r"\h(") == (0, 0)
+
+
+def _prepared(spark, texts):
+    rows = spark.createDataFrame([(n, language, text) for n, (language, text) in enumerate(texts)], "file_id long, language string, content string")
+    ascii_ = scan.X.is_ascii(F.col("content"))
+    return rows.select(
+        "*", scan.X.fold(F.col("content")).alias("folded"), ascii_.alias("ascii"), F.length("content").alias("chars"),
+        digit_run(F.col("content"), ascii_).alias("digits"), F.lit(None).cast("string").alias("code"),
+    )
+
+
+def test_texts_too_short_or_without_digits_are_not_tried(spark):
+    rules = pattern_rules()
+    texts = [("go", "x := 12"), ("go", "x := 1234"), ("go", "x" * 121), ("go", "x := \u0661\u0662\u0663"), ("python", "a = 7")]
+    tried = {}
+    for file, number in with_candidates(_prepared(spark, texts), rules, rules_literal(rules)).select("file_id", "rule_no").collect():
+        tried.setdefault(file, set()).add(rules[number - 1].id)
+    sized = {"ARCH-MAG001", "STY-LEN001", "PY-ARCH001"}
+    assert [tried.get(n, set()) & sized for n in range(5)] == [set(), {"ARCH-MAG001"}, {"STY-LEN001"}, {"ARCH-MAG001"}, set()]
+
+
+def test_spelled_rules_are_those_looked_up(spark, monkeypatch):
+    rules = pattern_rules()
+    rng = random.Random(5)
+    languages = sorted({x for r in rules for x in r.languages if x != "*"}) + ["kotlin", None]
+    texts = [(rng.choice(languages), "\n".join(rng.choices(SNIPPETS, k=rng.randrange(1, 5)))) for _ in range(300)]
+    texts += [(language, text) for language in languages for text in ("", "caf\u00e9 = '\u0130f x'", "it's a \\ 'quote'")]
+    files = spark.createDataFrame([(n, *row) for n, row in enumerate(texts)], "file_id long, language string, content string")
+    want = None
+    for spelled in (scan.MOST_SPELLED, 40, 0):
+        monkeypatch.setattr(scan, "MOST_SPELLED", spelled)
+        got = sorted(map(str, scan_rules(files, rules).collect()))
+        assert got and want in (None, got)
+        want = got

@@ -6,6 +6,8 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from checks import bindings as B
+from checks.q_history import QUERIES
+from reviewlake.plans.review import files_with_text, review_files
 from reviewlake.sources import tables as T
 
 
@@ -58,3 +60,16 @@ def test_files_are_put_together_in_one_pass_and_once(spark, sf):
     together = B.put_together(files)
     assert "lineitem" not in together._jdf.queryExecution().analyzed().toString()
     assert _rows(together) == _rows(files)
+
+
+def test_patches_are_put_together_and_extracted_once(spark, sf):
+    files = B.file_headers(spark, sf).join(B.patches(spark, sf), "file_id", "left").select(
+        "*", F.lit(1).alias("additions"), F.lit(0).alias("deletions")
+    )
+    together = B.put_together(files_with_text(files))
+    assert "patch" not in together.columns and together.where("status = 'removed'").isEmpty()
+    once, anew = review_files(together), review_files(files)
+    for name in ("files", "reviews", "findings"):
+        assert _rows(getattr(once, name)) == _rows(getattr(anew, name))
+    query = QUERIES["review_patches"][0](spark, sf)
+    assert "l_orderkey" not in query._jdf.queryExecution().analyzed().toString()
