@@ -100,8 +100,10 @@ def pr_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def put_together(files: DataFrame) -> DataFrame:
     """The same files, with their texts put together once: a review reads them for lines, blocks, repeats and headers,
-    and each of these would join them anew. Dealt by file, as a text costs much more than its bytes to read."""
-    return materialize(files, "files").repartition("file_id")
+    and each of these would join them anew. Dealt by file, as a text costs much more than its bytes to read; into a set number
+    of parts, as parts put together by their bytes would be too few to keep all cores at work."""
+    parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return materialize(files, "files").repartition(parts, "file_id")
 
 
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:

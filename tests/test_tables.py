@@ -68,6 +68,8 @@ def test_patches_are_put_together_and_extracted_once(spark, sf):
     )
     together = B.put_together(files_with_text(files))
     assert "patch" not in together.columns and together.where("status = 'removed'").isEmpty()
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert together.select("file_id", "content").rdd.getNumPartitions() == parts  # not put together by their bytes
     once, anew = review_files(together), review_files(files)
     for name in ("files", "reviews", "findings"):
         assert _rows(getattr(once, name)) == _rows(getattr(anew, name))
