@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # line breaks of the source text model (wider than "\n")
 LINE_BREAKS = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\u0085\\u2028\\u2029]"
 PLAIN_LINE_BREAK = "\n"
-OTHER_LINE_BREAKS = "[\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\u0085\\u2028\\u2029]"
+OTHER_LINE_BREAKS = "\r\x0b\x0c\x1c\x1d\x1e\u0085\u2028\u2029"
 
 
 WHITE_SPACE = (
@@ -32,6 +35,11 @@ def indent_width(line: Column) -> Column:
     return F.length(line) - F.length(F.ltrim(line, F.lit(WHITE_SPACE)))
 
 
+def holds_any(text: Column, characters: str) -> Column:
+    """Whether a text holds one of a few characters; looks at its bytes, where an expression would decode it first."""
+    return reduce(or_, [F.contains(text, F.lit(c)) for c in characters])
+
+
 def is_ascii(text: Column) -> Column:
     return F.octet_length(text) == F.length(text)
 
@@ -49,7 +57,7 @@ def fold(text: Column) -> Column:
 def split_lines(text: Column) -> Column:
     """Lines without their breaks; a final break does not open another line."""
     body = F.regexp_replace(text, f"(?:{LINE_BREAKS})\\z", "")
-    simple = ~text.rlike(OTHER_LINE_BREAKS)
+    simple = ~holds_any(text, OTHER_LINE_BREAKS)
     return F.when(F.length(text) == 0, F.array().cast("array<string>")).otherwise(
         F.when(simple, F.split(F.regexp_replace(text, "\\n\\z", ""), "\n", -1)).otherwise(
             F.split(body, LINE_BREAKS, -1)

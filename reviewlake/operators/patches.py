@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reviewlake.functions.text import OTHER_LINE_BREAKS, split_lines
+from reviewlake.functions.text import OTHER_LINE_BREAKS, holds_any, split_lines
 
 
 def patch_content(patch: Column) -> Column:
@@ -17,7 +17,7 @@ def patch_content(patch: Column) -> Column:
     # where only line feeds end lines, one pass over the text; each line is seen with the line feed before it
     lines = F.concat(F.lit("\n"), F.when(patch.endswith("\n"), F.left(patch, F.length(patch) - 1)).otherwise(patch))
     glued = F.substring(F.regexp_replace(lines, _SIGNS, "$1"), 2, _ALL)
-    return F.when(patch.rlike(OTHER_LINE_BREAKS), _content_by_lines(patch)).otherwise(glued)
+    return F.when(holds_any(patch, OTHER_LINE_BREAKS), _content_by_lines(patch)).otherwise(glued)
 
 
 # lines to be dropped, or what a kept line loses behind its line feed (group 1)

@@ -54,7 +54,7 @@ def code_view(content: Column) -> Column:
 def without_marks(content: Column) -> Column:
     marks = MARK + CAPTURE_END + CAPTURE_SEP
     return F.when(
-        content.rlike("[\\x01-\\x03]"), F.translate(content, marks, "�" * len(marks))
+        X.holds_any(content, marks), F.translate(content, marks, "�" * len(marks))
     ).otherwise(content)
 
 
@@ -72,9 +72,9 @@ def cheapest_first(needs: Sequence[Sequence[str]]) -> list[list[str]]:
 def digit_run(content: Column, ascii_: Column) -> Column:
     """The longest run of digits, up to ``MOST_DIGITS``; texts with other characters may hold other digits, so they count as having it."""
     run = F.when(~ascii_, MOST_DIGITS)
-    for n in range(MOST_DIGITS, 0, -1):
-        run = run.when(content.rlike(f"[0-9]{{{n}}}"), n)
-    return run.otherwise(0)
+    for n in range(MOST_DIGITS):  # most texts have few digits
+        run = run.when(~content.rlike(f"[0-9]{{{n + 1}}}"), n)
+    return run.otherwise(MOST_DIGITS)
 
 
 def rules_literal(rules: Sequence[Rule]) -> Column:

@@ -199,6 +199,17 @@ def test_texts_too_short_or_without_digits_are_not_tried(spark):
     assert [tried.get(n, set()) & sized for n in range(5)] == [set(), {"ARCH-MAG001"}, {"STY-LEN001"}, {"ARCH-MAG001"}, set()]
 
 
+def test_runs_of_digits_and_rare_characters(spark):
+    texts = ["", "a", "1a2", "x12", "1\n23", "x2345y", "\u00e9", "caf\u00e9 1"]
+    rows = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "n int, t string")
+    runs = rows.select("n", digit_run(F.col("t"), scan.X.is_ascii(F.col("t")))).orderBy("n").collect()
+    assert [r[1] for r in runs] == [0, 0, 1, 2, 2, 3, 3, 3]
+    ends = [*scan.X.OTHER_LINE_BREAKS, "\n", "\u00c2", "\u2027", "\x00"]
+    rows = spark.createDataFrame([(n, f"a{c}b") for n, c in enumerate(ends)] + [(99, None)], "n int, t string")
+    held = rows.select("n", scan.X.holds_any(F.col("t"), scan.X.OTHER_LINE_BREAKS)).orderBy("n").collect()
+    assert [r[1] for r in held] == [True] * 9 + [False] * 4 + [None]
+
+
 def test_spelled_rules_are_those_looked_up(spark, monkeypatch):
     rules = pattern_rules()
     rng = random.Random(5)
