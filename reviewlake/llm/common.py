@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import lru_cache, wraps
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -30,10 +30,33 @@ def forget() -> None:
     for kept in some:
         kept.cache_clear()
     if some:
+        trim()
+
+
+def trim() -> None:
+    """Memory that is free in this process goes back to the system; the allocators would keep it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not this C library
+        pass
+
+
+def trimmed(work: Callable) -> Callable:
+    """``work`` on the batches of a task, with ``trim`` at its end.
+
+    Spark keeps workers between tasks, more of them than it has cores if a task had several, and takes them in turn. So
+    each would wait with the memory of its largest task, beside the memory of the JVM.
+    """
+
+    @wraps(work)
+    def run(batches: Iterator) -> Iterator:
         try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except AttributeError:  # not this C library
-            pass
+            yield from work(batches)
+        finally:
+            trim()
+
+    return run
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

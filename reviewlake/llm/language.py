@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewlake.llm.common import forget
+from reviewlake.llm.common import forget, trimmed
 
 SIZE = 256
 WIDTHS = (2, 3, 4)
@@ -143,6 +143,7 @@ def predicted(text: Column, net: ByteNet | None) -> Column:
     """``lang`` and ``score`` of every whole text, as a struct; ``und`` and 0 for null and for texts without a letter."""
 
     @F.pandas_udf("lang string, score double")
+    @trimmed
     def predict(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         forget()
         for part in parts:

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewlake.llm.common import batches_by_size, forget, written
+from reviewlake.llm.common import batches_by_size, forget, trimmed, written
 from reviewlake.llm.components import components, joined_components
 
 K = 5
@@ -206,6 +206,7 @@ def _shared(a: np.ndarray, b: np.ndarray) -> int:
 def _sketched(docs: DataFrame) -> DataFrame:
     """``doc_id, digest, n_words, sketch`` of every row."""
 
+    @trimmed
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
         hashes = WordHashes()
@@ -231,6 +232,7 @@ def _sketched(docs: DataFrame) -> DataFrame:
 def _words(texts: DataFrame) -> DataFrame:
     """``rep, words``: 32-bit word hashes of each text."""
 
+    @trimmed
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches_by_size(batches, 1):
@@ -244,6 +246,7 @@ def _aligned(both: DataFrame, least: float) -> DataFrame:
     """The pairs (``a, b`` with words ``wa, wb``) with their ``similarity``: 0 where it is below ``least``."""
 
     @F.pandas_udf("double")
+    @trimmed
     def align(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for left, right in parts:
             yield pd.Series([similarity(np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4"), least) for a, b in zip(left, right, strict=True)], dtype=float)
@@ -281,6 +284,7 @@ def _in_order(least: float):
         columns = zip(*rows, strict=True) if rows else [[]] * len(names)
         return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names)
 
+    @trimmed
     def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here = TaskContext.get().partitionId()
         first_key = key = last = None
@@ -366,6 +370,7 @@ def _rest(buckets: DataFrame, classes: DataFrame, reps: DataFrame, words: DataFr
     rows = rows.join(reps.select("rep", "sketch"), "rep").join(words, "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "t", "block", "rep", "n", "label", "sketch", "words")
 
+    @trimmed
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, held = None, []
         for batch in batches:

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from reviewlake.llm.common import batches_by_size, forget, id_and_text, kept_in_worker, written
+from reviewlake.llm.common import batches_by_size, forget, id_and_text, kept_in_worker, trimmed, written
 from reviewlake.llm.pretokens import Recent, Splitter, load, packed_ids
 
 WINDOW = 2048
@@ -34,6 +34,7 @@ def _worker(path: str, end_id: int) -> tuple[type, Splitter, Recent]:
 def _encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """Pass one: ids of each document as unsigned 16- or 32-bit integers, and its start in the partition."""
 
+    @trimmed
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at = TaskContext.get().partitionId(), 0
         kind, split, cache = _worker(path, end_id)
@@ -74,6 +75,7 @@ def pack(docs: DataFrame, path: str, end_id: int, window: int = WINDOW) -> DataF
         "doc_id", (F.col("base") + F.col("at")).alias("at"), "doc_tokens", "width", "ids"
     )
 
+    @trimmed
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()  # what the first pass kept in this worker
         names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]

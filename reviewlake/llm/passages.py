@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from reviewlake.llm.common import batches_by_size, forget, written
+from reviewlake.llm.common import batches_by_size, forget, trimmed, written
 from reviewlake.llm.order_minhash import WordHashes, mixed
 
 K = 5
@@ -129,6 +129,7 @@ def compact_windows(texts: list[np.ndarray]) -> list[np.ndarray]:
 
 
 def _windows(docs: DataFrame) -> DataFrame:
+    @trimmed
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
         hashes = WordHashes()
@@ -144,6 +145,7 @@ def _windows(docs: DataFrame) -> DataFrame:
 def _slices(asked: DataFrame) -> DataFrame:
     """The words around each asked place (``doc_id, text, places``): ``doc, at, begin, words`` (16-bit word hashes)."""
 
+    @trimmed
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches_by_size(batches, 1):
@@ -219,6 +221,7 @@ def _verify():
     """The repeated stretch of the second slice, and whether all of it stands in the first one."""
 
     @F.pandas_udf("start int, stop int, same boolean")
+    @trimmed
     def verify(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         for parts_of in parts:
             out = []
@@ -307,6 +310,7 @@ def _by_runs(members: DataFrame, slices: DataFrame) -> DataFrame:
     """Word-by-word repeats among all members of the windows, by each run of ``WORDS`` words around them."""
     asked = members.select(F.col("b").alias("doc"), F.col("cb").alias("at")).distinct()
 
+    @trimmed
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc, start, run = [], [], []
@@ -351,6 +355,7 @@ def run_pairs(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _among(members: DataFrame, slices: DataFrame) -> DataFrame:
     """Near copies among the members (``doc, at, open``): ``doc, start, stop, source`` of the open ones."""
 
+    @trimmed
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             key, row, place = [], [], []
@@ -399,6 +404,7 @@ def cut_passages(docs: DataFrame) -> DataFrame:
     )
 
     @F.pandas_udf("string")
+    @trimmed
     def without(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         import re
 
