@@ -36,6 +36,7 @@ CENTROIDS = 16_384  # of all labels together: what is broadcast
 SAMPLE = 8  # vectors of the sample for each centroid
 AUDITED = 200
 RECALL = 0.99
+BLOCK = 128  # vectors of a shard that are worked on at once
 _SCALE = 1_000_000
 
 
@@ -66,53 +67,73 @@ def valid_vectors(table: DataFrame) -> DataFrame:
 def robust_prune(x: np.ndarray) -> list[np.ndarray]:
     """Neighbours of each row: nearest first, without those that are nearer to a neighbour already kept."""
     d = np.maximum(2 - 2 * (x @ x.T), 0).astype(np.float32)
-    open_ = d.copy()
-    np.fill_diagonal(open_, np.inf)
-    kept: list[list[int]] = [[] for _ in x]
-    active = np.arange(len(x))
-    while len(active):
-        best = open_[active].argmin(axis=1)
-        more = np.isfinite(open_[active, best])
-        active, best = active[more], best[more]
-        for i, j in zip(active.tolist(), best.tolist(), strict=True):
-            kept[i].append(j)
-        rows = open_[active]
-        rows[(d[best] < d[active]) | (np.arange(len(x)) == best[:, None])] = np.inf
-        open_[active] = rows
-    return [np.array(k, int) for k in kept]
-
-
-def _search(x: np.ndarray, near: list[np.ndarray], queries: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (query, other) in range, by greedy search from the medoid and expansion over twice the range."""
+    kept: list[np.ndarray] = []
+    for a in range(0, len(x), BLOCK):
+        kept += _prune(d, np.arange(a, min(a + BLOCK, len(x))))
+    return kept
+
+
+def _prune(d: np.ndarray, own: np.ndarray) -> list[np.ndarray]:
+    """``robust_prune`` of the rows ``own``: over whole rows while many candidates are open, then over a list of those."""
+    far = d[own]
+    open_ = far.copy()
+    at = np.arange(len(own))
+    open_[at, own] = np.inf
+    rows, bests = [], []
+    while (left := np.isfinite(open_)).sum() * 8 > left.size:
+        best = open_.argmin(axis=1)
+        more = at[left.any(axis=1)]
+        rows.append(more)
+        bests.append(best[more])
+        np.copyto(open_, np.inf, where=d[best] < far)
+        open_[at, best] = np.inf
+    row, other = np.nonzero(left)
+    far = far[row, other]
+    while len(row):
+        start = np.flatnonzero(np.diff(row, prepend=-1))
+        group = np.repeat(np.arange(len(start)), np.diff(start, append=len(row)))
+        least = np.flatnonzero(far == np.minimum.reduceat(far, start)[group])
+        first = least[np.searchsorted(group[least], np.arange(len(start)))]
+        rows.append(row[first])
+        bests.append(other[first])
+        best = other[first][group]
+        go = (d[best, other] >= far) & (other != best)
+        row, other, far = row[go], other[go], far[go]
+    if not rows:
+        return [np.array([], int) for _ in own]
+    row, best = np.concatenate(rows), np.concatenate(bests)
+    order = np.argsort(row, kind="stable")
+    return np.split(best[order], np.searchsorted(row[order], at[1:]))
+
+
+def _search(c: np.ndarray, medoid: int, near: list[np.ndarray], least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (query, other) in range, by greedy search from the medoid and expansion over twice the range; ``c`` holds the cosines."""
     width = max(1, max(map(len, near)))
-    table = np.tile(np.arange(len(x))[:, None], (1, width))
+    table = np.tile(np.arange(len(c))[:, None], (1, width))
     for i, k in enumerate(near):
         table[i, : len(k)] = k
-    mean = x.mean(axis=0)
-    medoid = int((x @ mean).argmax())
     wide = 1 - 4 * (1 - least)  # cosine at twice the chord
-    for a in range(0, len(queries), 128):
-        block = queries[a : a + 128]
-        q = x[block]
+    for a in range(0, len(c), BLOCK):
+        block = np.arange(a, min(a + BLOCK, len(c)))
         at = np.full(len(block), medoid)
-        here = q @ x[medoid]
+        here = c[block, at]
         while True:
             around = table[at]
-            cosine = np.einsum("qd,qrd->qr", q, x[around])
+            cosine = c[block[:, None], around]
             best = cosine.argmax(axis=1)
             top = cosine[np.arange(len(block)), best]
             better = top > here + 1e-12
             if not better.any():
                 break
             at[better], here[better] = around[np.arange(len(block)), best][better], top[better]
-        seen = np.zeros((len(block), len(x)), bool)
+        seen = np.zeros((len(block), len(c)), bool)
         front = np.zeros_like(seen)
         front[np.arange(len(block)), at] = True
         front[np.arange(len(block)), block] = True
         while front.any():
             seen |= front
             row, node = np.nonzero(front)
-            cosine = np.einsum("pd,pd->p", q[row], x[node])
+            cosine = c[block[row], node]
             hit = (cosine >= least) & (node != block[row])
             yield block[row[hit]], node[hit]
             go = cosine >= wide - 1e-9
@@ -128,7 +149,7 @@ def _centroids(reps: DataFrame) -> dict[str, np.ndarray]:
     share = CENTROIDS / max(total, 1)
     cells = F.least(F.ceil(F.col("n") / PER_CELL), F.floor(F.col("n") * share)).cast("int")
     large = sizes.withColumn("k", cells).where("k > 1").select("family", "n", "k")
-    odds = F.col("k") * SAMPLE * _SCALE / F.col("n")
+    odds = F.col("k").cast("long") * SAMPLE * _SCALE / F.col("n")  # an int would not hold it from 269 cells on
     sample = reps.join(large, "family").where(F.pmod(F.xxhash64("rep"), F.lit(_SCALE)) < odds)
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
@@ -179,6 +200,11 @@ def _shards(reps: DataFrame, centroids: dict[str, np.ndarray], margin: float) ->
     )
 
 
+def _flat(lists: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """The position of the list of each element, and all elements in order."""
+    return np.repeat(np.arange(len(lists)), lists.map(len)), np.concatenate([np.asarray(k, np.int64) for k in lists])
+
+
 def _links(shards: DataFrame, least: float) -> DataFrame:
     """``rep, links, root``: for each shard, the vectors linked with (copies counted), and a vector joined with."""
 
@@ -195,22 +221,20 @@ def _links(shards: DataFrame, least: float) -> DataFrame:
         ids, m, sub = rows["rep"].to_numpy(), rows["m"].to_numpy(), rows["sub"].to_numpy()
         cell, across = int(rows["cell"].iloc[0]), int(rows["x"].iloc[0]) != int(rows["y"].iloc[0])
         x = _unit(rows["v"])
-        near = []
-        for k in rows["near"]:
-            k = np.asarray(k, np.int64)
-            at = np.searchsorted(ids, k)
-            at = at[at < len(ids)]
-            near.append(at[np.isin(ids[at], k)] if len(at) else at)
-        most = max(map(len, rows["cells"]))
-        inside = np.full((len(ids), most), -1)
-        for i, c in enumerate(rows["cells"]):
-            inside[i, : len(c)] = c
+        owner, k = _flat(rows["near"])
+        at = np.minimum(np.searchsorted(ids, k), len(ids) - 1)
+        here = ids[at] == k
+        near = np.split(at[here], np.searchsorted(owner[here], np.arange(1, len(ids))))
+        owner, other = _flat(rows["cells"])
+        earlier = other < cell
+        names, place = np.unique(other[earlier], return_inverse=True)
+        below = np.zeros((len(ids), len(names)), bool)
+        below[owner[earlier], place] = True
+        below = np.packbits(below, axis=1)
         links, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
         pairs = []
-        for a, b in _search(x, near, np.arange(len(ids)), least):
-            common = (inside[a][:, :, None] == inside[b][:, None, :]) & (inside[a] >= 0)[:, :, None]
-            first = np.where(common.any(axis=2), inside[a], 2**31 - 1).min(axis=1)
-            ok = (first == cell) & ((sub[a] != sub[b]) | (not across))
+        for a, b in _search(x @ x.T, int((x @ x.mean(axis=0)).argmax()), near, least):
+            ok = ~(below[a] & below[b]).any(axis=1) & ((sub[a] != sub[b]) | (not across))
             a, b = a[ok], b[ok]
             np.add.at(links, a, m[b])
             if len(a):

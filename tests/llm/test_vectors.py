@@ -63,6 +63,38 @@ def test_graph_with_many_small_shards(spark, monkeypatch):
     check_graph(spark, monkeypatch, PER_CELL=20, SHARD=16)
 
 
+def test_graph_with_many_cells_of_a_label(spark, monkeypatch):
+    monkeypatch.setattr(neargraph, "PER_CELL", 1)
+    rows = [(r.vec_id, r.embedding, 0) for r in table(spark, 330).collect() if r.vec_id is not None and r.vec_id < 300]
+    data = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    reps = neargraph.valid_vectors(data).groupBy("family", "v").agg(F.min("vec_id").alias("rep"))
+    assert len(neargraph._centroids(reps)["0:8"]) == reps.count() > 268  # the odds of the sample do not fit an int
+
+
+def plain_prune(x):
+    d = np.maximum(2 - 2 * (x @ x.T), 0).astype(np.float32)
+    kept = []
+    for i in range(len(x)):
+        own, left = [], [j for j in np.argsort(d[i], kind="stable") if j != i]
+        while left:
+            own.append(left[0])
+            left = [j for j in left[1:] if d[own[-1], j] >= d[i, j]]
+        kept.append(own)
+    return kept
+
+
+def test_pruning_and_search():
+    rng = np.random.default_rng(3)
+    for x in (rng.normal(size=(150, 6)), np.eye(40), np.repeat(rng.normal(size=(1, 5)), 4, axis=0), rng.normal(size=(1, 5)), rng.normal(size=(150, 3))):
+        x = x / np.linalg.norm(x, axis=1, keepdims=True)
+        near = neargraph.robust_prune(x)
+        assert [k.tolist() for k in near] == plain_prune(x)
+        c = x @ x.T
+        pairs = {(int(a), int(b)) for p in neargraph._search(c, 0, near, 0.98) for a, b in zip(*p, strict=True)}
+        np.fill_diagonal(c, -1)
+        assert pairs == set(map(tuple, np.argwhere(c >= 0.98).tolist()))
+
+
 def test_rows_without_a_vector_keep_their_row_beside_one_of_the_same_id(spark):
     one = [0.0, 1.0]
     rows = [(1, one, 0), (1, None, 0), (2, one, 0), (2, [0.0, 0.0], 0), (3, None, None)]
