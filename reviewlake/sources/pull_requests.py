@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewlake import schemas
+from reviewlake.sources import trees
 
 
 def _with_defaults(df: DataFrame) -> DataFrame:
@@ -52,11 +53,19 @@ def header_files(raw: DataFrame) -> DataFrame:
 
 
 def read_code_tree(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Whole files below a folder: (filename, content)."""
-    raw = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", pattern).load(path)
-    )
+    """Whole files below a folder: (filename, content).
+
+    Spark's reader keeps several records of each file in the driver and deals few files to a task. So a ``file:`` folder is listed
+    and read by tasks; only other file systems, single files and globs go through Spark's reader.
+    """
+    folder = trees.local_folder(spark, path)
+    if folder:
+        raw = trees.read_files(spark, *folder, pattern)
+    else:
+        raw = (
+            spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+            .option("pathGlobFilter", pattern).load(path)
+        )
     return raw.select(F.col("path").alias("filename"), decode_utf8(F.col("content")).alias("content"))
 
 

@@ -206,3 +206,38 @@ def test_text_tree_has_a_file_for_each_id_in_few_folders(spark, tmp_path):
     empty = f"{tmp_path}/empty"
     B.write_text_tree(spark.createDataFrame([], "doc_id long, text string"), empty)
     assert PR.read_code_tree(spark, empty, "*.txt").count() == 0
+
+
+def test_tree_is_read_as_sparks_reader_reads_it(spark, tmp_path, monkeypatch):
+    from reviewlake.sources import pull_requests as PR
+    from reviewlake.sources import trees
+
+    monkeypatch.setattr(trees, "ENTRIES", 3)
+    monkeypatch.setattr(trees, "FILES", 4)
+    monkeypatch.setattr(trees, "BATCH", 20)
+    root = tmp_path / "a tree"
+    for n in range(30):
+        folder = root / f"d{n % 5}" / ("e" * (n % 4 + 1)) / "x=1"
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / f"f{n}.py").write_bytes(f"line {n}\n".encode() * (n % 3) + (b"\xff\xc3" if n % 7 == 0 else b""))
+    for name in ("top.py", "ü.py", "no.txt", "_hidden.py", ".git.py", "_a=b.py", "_metadata.py", "c.py._COPYING_", "{a,b}.py"):
+        (root / name).write_text(name)
+    (root / "link.py").symlink_to(root / "top.py")
+    (root / "dead.py").symlink_to(root / "nothing")
+    for hidden in ("_h", ".git", "_metadata", "g._COPYING_"):
+        (root / hidden).mkdir()
+        (root / hidden / "f.py").write_text("hidden")
+    (root / "d0" / "linked").symlink_to(root / "d1")
+
+    def rows(df):
+        return sorted(map(tuple, df.select("filename", "content").collect()))
+
+    for pattern in ("*", "f[12]?.py", "{top,no}.*", "none"):
+        raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(str(root))
+        want = rows(raw.select(F.col("path").alias("filename"), PR.decode_utf8(F.col("content")).alias("content")))
+        assert rows(PR.read_code_tree(spark, str(root), pattern)) == want, pattern
+    monkeypatch.undo()
+    assert rows(PR.read_code_tree(spark, f"file://{root}/", "*.py")) == rows(PR.read_code_tree(spark, f"{tmp_path}/a*", "*.py"))
+    assert rows(PR.read_code_tree(spark, f"{root}/top.py")) == [(f"file:{root}/top.py", "top.py")]
+    plan = PR.read_code_tree(spark, str(root))._jdf.queryExecution().analyzed().toString()
+    assert "binaryFile" not in plan  # no record of each file in the driver
