@@ -9,8 +9,9 @@
   neighbour nearer to any other one can be found. The adjacency lists of all shards are united per vector.
 * In each shard every vector is searched from the medoid: greedy steps, then an expansion over all vectors within twice
   the range, which holds a path to each one in range. Cosines are computed in double precision before a pair counts.
-* Recall is measured for a bounded set of vectors against all others; if it is below ``RECALL``, the margin doubles. At a margin as
-  large as the range every pair shares a shard.
+* Recall is measured for a bounded set of vectors against all others; if it is below ``RECALL``, the margin doubles, up to half the
+  range: the distances of a pair's vectors from the boundary between their cells are no more together than the pair is apart, so
+  that one of them is a guest of the other's cell, and every pair shares a shard.
 
 A pair that meets in several shards counts in the first of them. Shards give the number of links of each vector and a
 spanning set of links, from which the components follow.
@@ -289,12 +290,12 @@ def near_duplicates(table: DataFrame, least: float = LEAST) -> DataFrame:
     reps = written(vectors.groupBy("family", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m")), "graph-reps")
     centroids = _centroids(reps)
     reach = math.sqrt(2 - 2 * least)
-    margin = reach * 0.3
+    margin, most = reach * 0.3, reach * 0.5 * (1 + 1e-9)
     while True:
         found = _links(written(_shards(reps, centroids, margin), "graph-shards"), least)
-        if margin >= reach or recall(reps, found, least) >= RECALL:
+        if margin >= most or recall(reps, found, least) >= RECALL:
             break
-        margin = min(reach, margin * 2)
+        margin = min(most, margin * 2)
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     labels = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     named = reps.join(links, "rep", "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(

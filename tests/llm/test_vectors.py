@@ -63,6 +63,14 @@ def test_graph_with_many_small_shards(spark, monkeypatch):
     check_graph(spark, monkeypatch, PER_CELL=20, SHARD=16)
 
 
+def test_nothing_is_missed_at_half_the_range(spark, monkeypatch):
+    margins = []
+    shards = neargraph._shards
+    monkeypatch.setattr(neargraph, "_shards", lambda reps, centroids, margin: margins.append(margin) or shards(reps, centroids, margin))
+    check_graph(spark, monkeypatch, PER_CELL=20, RECALL=2)
+    assert len(margins) == 2 and abs(margins[1] - np.sqrt(2 - 2 * neargraph.LEAST) / 2) < 1e-6
+
+
 def test_graph_with_many_cells_of_a_label(spark, monkeypatch):
     monkeypatch.setattr(neargraph, "PER_CELL", 1)
     rows = [(r.vec_id, r.embedding, 0) for r in table(spark, 330).collect() if r.vec_id is not None and r.vec_id < 300]
